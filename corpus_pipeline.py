@@ -1,8 +1,68 @@
-"""Placeholder until all five stages exist."""
-STAGES = []
+"""A corpus pipeline: quality, near-duplicates, decontamination, mixing, token ids.
+
+Each stage takes what the one before it kept, with the columns of ``documents``, as a table that was written and
+read again; the last one returns what its token files hold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.llm.common import stash
+from siftline.llm.decontaminate import decontaminate
+from siftline.llm.mixing import mix_texts
+from siftline.llm.quality import keep_good
+from siftline.llm.queries import tokenizer_path
+from siftline.llm.simhash import keep_one
+from siftline.llm.token_files import token_table
+from siftline.session import table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects."""
+    return keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates."""
+    return keep_one(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).distinct()
+    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_h"))
+    return docs.join(bad, same, "left_anti").select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts of the mix: a row for each document and epoch that takes words of it."""
+    return mix_texts(docs).select(*COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back."""
+    return token_table(docs, tokenizer=tokenizer_path(), end=0)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_ids", token_ids),
+]
+
+#: Hashes, samples and files are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
