@@ -10,4 +10,7 @@ import pytest
 def spark():
     from siftline.session import local_session
 
-    return local_session()
+    session = local_session(cores=4)
+    session.conf.set("spark.sql.shuffle.partitions", "3")
+    session.sparkContext.setLogLevel("ERROR")
+    return session
