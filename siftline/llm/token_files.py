@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,49 +36,73 @@ from siftline.llm.common import kept, map_file, put_file, scratch, stash
 
 MAGIC = b"DACIDS01"
 #: Bits between entries of a rank directory; tokens after which a file is closed; distinct pieces kept by a worker.
-RANK, FILE_TOKENS, KEPT_PIECES = 512, 4_000_000, 600_000
+RANK, FILE_TOKENS, KEPT_PIECES = 512, 4_000_000, 700_000
 
 #: A blank run with the word after it, or blanks at the end: no token of a byte-level BPE with the usual
 #: splitting pattern reaches over a place where a blank follows another character.
 PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: Characters that some libraries count as blanks and others don't, and a special token: such texts go whole.
-ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|<\\|endoftext\\|>")
+#: Blanks beyond ASCII, which join runs of blanks, and the special token: such texts go whole.
+WIDE = re.compile("[\x85\xa0  -     　]")
+SPECIAL = "<|endoftext|>"
+
+
+class Codes(dict):
+    """Piece to number; an unknown piece gets the next one and is noted in ``new``."""
+
+    def __init__(self, pieces=()):
+        super().__init__((p, i) for i, p in enumerate(pieces))
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
 
 
 class Pieces:
-    """Encodes texts by their pieces; each distinct piece goes through the tokenizer once while it is kept."""
+    """Encodes texts by their pieces; each distinct piece goes through the tokenizer once while it is kept.
+
+    When too many are kept, those used once since the last time go.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        self.codes, self.used = Codes(), np.zeros(0, np.int64)
+        self.flat, self.first = array("I"), array("q", [0])
 
-    def clear(self) -> None:
-        self.code: dict[str, int] = {}
+    def trim(self) -> None:
+        again = np.flatnonzero(self.used > 1)
+        again = again if len(again) < KEPT_PIECES // 2 else again[:0]
+        flat, first, pieces = np.array(self.flat, np.uint32), np.array(self.first), list(self.codes)
+        self.codes = Codes(pieces[i] for i in again)
         self.flat, self.first = array("I"), array("q", [0])
+        for i in again:
+            self.flat.extend(flat[first[i] : first[i + 1]].tolist())
+            self.first.append(len(self.flat))
+        self.used = np.zeros(len(again), np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.code) > KEPT_PIECES:
-            self.clear()
-        split = [PIECE.findall(t) if not ODD.search(t) else [t] for t in texts]
-        code = self.code
-        new = list({p for s in split for p in s if p not in code})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                code[p] = len(self.first) - 1
+        if len(self.codes) > KEPT_PIECES:
+            self.trim()
+        split = [[t] if SPECIAL in t or not t.isascii() and WIDE.search(t) else PIECE.findall(t) for t in texts]
+        sizes, codes = [len(s) for s in split], self.codes
+        c = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
+        for a in range(0, len(codes.new), 20_000):
+            for e in self.tokenizer.encode_batch_fast(codes.new[a : a + 20_000], add_special_tokens=False):
                 self.flat.extend(e.ids)
                 self.first.append(len(self.flat))
-        flat, first, out = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.first, np.int64), []
-        for s in split:
-            c = np.fromiter((code[p] for p in s), np.int64, len(s))
-            a, n = first[c], first[c + 1] - first[c]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(n) else 0
-            out.append(flat[np.repeat(a - (ends - n), n) + np.arange(total)])
-        return out
+        codes.new.clear()
+        flat, first = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.first, np.int64)
+        self.used = np.concatenate([self.used, np.zeros(len(codes) - len(self.used), np.int64)]) + np.bincount(c, minlength=len(codes))
+        n = first[c + 1] - first[c]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(n) else 0
+        ids = flat[np.repeat(first[c] - (ends - n), n) + np.arange(total)]
+        cut = np.concatenate([[0], ends])[np.cumsum([0, *sizes])]
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
