@@ -324,11 +324,11 @@ WITH hashed AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
 ), groups AS (
   SELECT *, max(page_id) OVER (PARTITION BY hex) AS last,
-         list_transform(range(8), g -> CAST('0x' || substr(hex, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT)) AS twenty
+         list_transform(range(8), lambda g: CAST('0x' || substr(hex, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT)) AS twenty
   FROM hashed
 )
 SELECT page_id, octet_length(encode(html)) AS payload_bytes,
-       list_aggregate(list_transform(twenty, x -> ALPHABET(x >> 15) || ALPHABET(x >> 10) || ALPHABET(x >> 5) || ALPHABET(x)), 'string_agg', '') AS payload_digest,
+       list_aggregate(list_transform(twenty, lambda x: ALPHABET(x >> 15) || ALPHABET(x >> 10) || ALPHABET(x >> 5) || ALPHABET(x)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM groups

@@ -63,7 +63,7 @@ def test_counts_over_partitions(spark):
                 got = sorted(r.n for r in key_table(occurrences(frame(spark, rows)), least).collect())
                 assert got == sorted(len(v) for v in want.values() if len(v) >= least)
         finally:
-            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.set("spark.sql.shuffle.partitions", "3")
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
