@@ -42,7 +42,7 @@ def content_of(value) -> str:
 
 def _apply(function, kind: str):
     def column(text: Column) -> Column:
-            @F.pandas_udf(kind)
+        @F.pandas_udf(kind)
         def run(batch: pd.Series) -> pd.Series:
             def one(t):
                 if t is None:

@@ -133,7 +133,7 @@ def split_list(text: Column) -> Column:
     """Split at the first kind of separator that occurs, of ``，`` ``,`` ``、``; parts trimmed, empty ones left out."""
 
     def by(mark: str) -> Column:
-        return F.filter(F.transform(F.split(text, mark), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.split(text, mark), lambda x: F.trim(x)), lambda x: x != "")
 
     whole = F.filter(F.array(F.trim(text)), lambda x: x != "")
     return F.when(text.contains("，"), by("，")).when(text.contains(","), by(",")).when(text.contains("、"), by("、")).otherwise(whole)

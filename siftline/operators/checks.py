@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def failing(df: DataFrame, rules: dict[str, Column], *columns: str) -> DataFrame:
     """The given columns and ``rule`` for every rule that a row breaks; a rule that is null is broken."""
     found = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
-    return df.select(*columns, F.explode(found).alias("rule"))
+    return df.select(*columns, found.alias("_rules")).withColumn("rule", F.explode("_rules")).drop("_rules")
 
 
 def unique_in(column: str) -> Column:

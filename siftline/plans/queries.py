@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from siftline.functions import decisions, records, signals, text
 from siftline.operators import checks, dedup, evaluate, expand, overlap, ranking, retrieval, select, traces
 from siftline.plans.fixtures import kb_rows, prediction_rows, question_rows, seed_specs, seed_words
-from siftline.session import table
+from siftline.session import ship, table
 from siftline.streaming import machines
 
+ship()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

@@ -56,7 +56,7 @@ def strict_predictions(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The predictions, if their ids are exactly ``ids``, once each; else an error that counts the cases."""
     counts = rows.groupBy("id").agg(F.count("*").alias("n"))
     both = counts.withColumn("here", F.lit(1)).join(ids.select("id").distinct().withColumn("asked", F.lit(1)), "id", "full")
-    bad = both.agg(F.count_if("n > 1"), F.count_if("here is null"), F.count_if("asked is null")).first()
+    bad = both.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("here").isNull()), F.count_if(F.col("asked").isNull())).first()
     if any(bad):
         raise ValueError(f"predictions: {bad[0]} ids repeated, {bad[1]} missing, {bad[2]} extra")
     return rows.select("id", F.coalesce("text", F.lit("")).alias("text"))

@@ -31,7 +31,7 @@ def naive_cover(rows, budget, must=()):
 def test_cover_equals_the_loop(spark):
     rng = random.Random(5)
     for n, budget in ((25, 10), (40, 60)):
-        rows = [(i, f"c{rng.randrange(6)}", rng.choice([0, 0.25, 0.5, 1.0, 2.0, -1.0])) for i in range(n)]
+        rows = [(i, f"c{rng.randrange(6)}", rng.choice([0.0, 0.25, 0.5, 1.0, 2.0, -1.0])) for i in range(n)]
         df = spark.createDataFrame(rows, "idx int, cell string, quality double")
         picks, f = naive_cover(rows, budget)
         got = select.greedy_cover(df, budget).orderBy("pick").collect()
