@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.functions.signals import json_bytes
+
 
 def trace_stats(rows: DataFrame, *by: str) -> DataFrame:
     """Total, edge, cloud, failed, mean time of successes (null if none), share of the cloud (0 if empty)."""
@@ -92,3 +94,15 @@ def histogram(rows: DataFrame, *keys: str) -> DataFrame:
     """A1, A2: keys, n, share of all rows, rounded to 4 places."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 4))  # over groups only
+
+
+def response_meta(model: Column, latency_ms: Column, stages: Column, confidence: Column, reason: Column) -> Column:
+    """The struct that describes how an answer was made."""
+    return F.struct(model.alias("model"), latency_ms.alias("latency_ms"), stages.alias("stages"), F.round(confidence, 4).alias("confidence"), reason.alias("route_reason"))
+
+
+def soft_label_stats(rows: DataFrame, soft: str = "soft_label", scale: int = 50_000) -> DataFrame:
+    """A5: rows, mean bytes of the soft labels as JSON, all of them in MB, tokens, and GB for ``scale`` rows."""
+    size = json_bytes(F.col(soft))
+    out = rows.agg(F.count("*").alias("rows"), F.avg(size).alias("mean_bytes"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.size(soft)), F.lit(0)).alias("tokens"))
+    return out.select("rows", F.round("mean_bytes", 1).alias("mean_bytes"), F.round(F.col("bytes") / 1048576, 3).alias("megabytes"), "tokens", F.round(F.col("mean_bytes") * scale / 1073741824, 3).alias("gigabytes_at_scale"))

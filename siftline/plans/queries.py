@@ -539,3 +539,32 @@ def place_codes(spark, sf_dir):
     rows = [("北京市", "[]", "110108", "海淀区"), ("湖北省", "[]", "429004", "仙桃市"), ("湖北省", "武汉市", "420106", "武昌区")]
     df = spark.createDataFrame(rows, "p string, c string, a string, d string")
     return df.select(records.city_code(F.col("p"), F.col("c"), F.col("a"), F.col("d")).alias("x")).select("x.name", "x.code")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS extra")
+def id_differences(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    sides = docs.exceptAll(labels).select(F.lit(1).alias("m"), F.lit(0).alias("x")).unionAll(labels.exceptAll(docs).select(F.lit(0), F.lit(1)))
+    return sides.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("missing"), F.coalesce(F.sum("x"), F.lit(0)).alias("extra"))
+
+
+@query("SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) = 1")
+def first_orders(spark, sf_dir):
+    return ranking.first_per(table(spark, sf_dir, "orders"), ["o_orderpriority"], F.col("o_orderdate"), F.col("o_orderkey")).select("o_orderpriority", "o_orderkey")
+
+
+@query("SELECT source, count(*) AS rows, count(DISTINCT doc_id) AS ids FROM (SELECT doc_id, 'documents' AS source FROM documents UNION ALL SELECT doc_id, 'labels' FROM labels) GROUP BY source")
+def tagged_union(spark, sf_dir):
+    both = overlap.tagged_union(documents=table(spark, sf_dir, "documents").select("doc_id"), labels=table(spark, sf_dir, "labels").select("doc_id"))
+    return both.groupBy(F.col("origin").alias("source")).agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"))
+
+
+@query("SELECT event_id, CAST(substr(props, 7, length(props) - 7) AS BIGINT) AS k FROM events WHERE props LIKE '{\"k\": %}'")
+def event_properties(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k is not null")
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM events WHERE value < 10 GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 3")
+def top_error_kinds(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("value < 10").select(F.col("event_id").alias("idx"), F.array(F.concat("event_type", F.lit(":x"))).alias("errors"))
+    return evaluate.top_errors(rows, 3)

@@ -246,3 +246,12 @@ def test_top_errors(spark):
     df = spark.createDataFrame([(0, ["b:x", "a:y"]), (1, ["a:z"]), (2, [])], "idx int, errors array<string>")
     assert [tuple(r) for r in evaluate.top_errors(df, 2).collect()] == [("a", 2), ("b", 1)]
     assert evaluate.markdown("t", {"a": 1, "b": None}).splitlines()[-1] == "| b | — |"
+
+
+def test_soft_labels_and_meta(spark):
+    df = spark.createDataFrame([([("a", -0.5)],), ([("b", -1.0), ("c", -2.0)],)], "soft_label array<struct<token:string,logprob:double>>")
+    s = traces.soft_label_stats(df).first()
+    sizes = [len('[{"token": "a", "logprob": -0.5}]'), len('[{"token": "b", "logprob": -1.0}, {"token": "c", "logprob": -2.0}]')]
+    assert (s.rows, s.tokens, s.mean_bytes) == (2, 3, round(sum(sizes) / 2, 1))
+    m = df.select(traces.response_meta(F.lit("m"), F.lit(5), F.create_map(F.lit("a"), F.lit(1)), F.lit(0.12345), F.lit("r")).alias("m")).first().m
+    assert m.model == "m" and m.confidence == 0.1235

@@ -74,3 +74,43 @@ def test_public_fields(spark):
     df = spark.createDataFrame([((1, 2, 3),)], "s struct<b:int,a:int,secret:int>")
     assert files.public_fields(df, {"s": ["b", "a"]}).schema.simpleString() == "struct<s:struct<a:int,b:int>>"
     assert files.todo(df.select(F.lit("a").alias("id")), df.select(F.lit("a").alias("id"))).count() == 0
+
+
+def test_settings(tmp_path):
+    from siftline.sources.config import load_settings
+
+    p = tmp_path / "env"
+    p.write_text("# note\nA=1\n B = 'x y' \nC=\"\n\nA=2\nnothing\n")
+    into = {"B": "kept"}
+    assert load_settings(str(p), into) == {"A": "2", "B": "x y", "C": '"'} and into == {"A": "2", "B": "kept", "C": '"'}
+    assert load_settings(str(tmp_path / "no"), into) == {}
+
+
+def test_labelling_resumes(spark, tmp_path):
+    from siftline.plans.labelling import CallFailed, resume, with_retries
+
+    waits, answers = [], iter([CallFailed(503), CallFailed(None), ("ok", [])])
+
+    def flaky(_):
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert with_retries(flaky, "p", 3, waits.append) == ("ok", []) and waits == [0.8, 1.6]
+
+    def call(prompt):
+        if prompt == "bad":
+            raise CallFailed(400)
+        return prompt.upper(), [-1.0, -2.0]
+
+    def never(prompt):
+        if prompt != "bad":
+            raise ValueError("asked again")
+        return "late", [0.0]
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "bad")], "id string, prompt string")
+    first = {r.id: r for r in resume(rows, call, str(tmp_path / "cache")).collect()}
+    assert first["a"].label == "X" and first["b"].label is None and first["b"].note == "status 400" and 0 < first["a"].confidence < 1
+    again = {r.id: r.label for r in resume(rows, never, str(tmp_path / "cache")).collect()}
+    assert again == {"a": "X", "b": "late"}
