@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from siftline.llm.common import kept
 
@@ -99,7 +100,7 @@ def heads(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
 
 def slices(texts: pa.Array, most: int = 4 << 20):
     """(first row, rows) of parts of an array of strings of about ``most`` bytes each."""
-    sizes = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
