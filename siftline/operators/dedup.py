@@ -55,10 +55,10 @@ def candidate_pairs(sketched: DataFrame, threshold: float, perms: int = 256) ->
 
     Rows are distinct texts; only their number of shingles and ``perms`` bits move, shingles stay behind.  Two bits
     differ with probability (1 - similarity) / 2, so a pair at the threshold is dropped only if its bits differ more
-    often than expected by over six standard deviations.
+    often than expected by over 4.5 standard deviations: about as rarely as all bands miss it, 3 times in a million.
     """
     p = (1 - threshold) / 2
-    most = p * perms + 6 * (perms * p * (1 - p)) ** 0.5
+    most = p * perms + 4.5 * (perms * p * (1 - p)) ** 0.5
     n = F.size("grams").alias("n")
     banded = sketched.select("i", n, *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(perms // 64)], F.posexplode("keys").alias("band", "key"))
     x, y = banded.alias("x"), banded.alias("y")

@@ -34,12 +34,3 @@ def local_session(cores: int | None = None, memory: str = "8g", name: str = "sif
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ship() -> None:
-    """Sends this package's batch functions by value, so that workers need no copy of it on their path."""
-    from pyspark import cloudpickle
-
-    import siftline
-
-    cloudpickle.register_pickle_by_value(siftline)
