@@ -119,6 +119,14 @@ def overlap_near_bounded(spark, sf_dir):
     return overlap.near_matches(*overlap_sides(spark, sf_dir), threshold=0.2, cap=None)
 
 
+@query(f"""
+WITH {OVERLAP_SQL.replace("USING (gram) GROUP", "ON x.gram = y.gram AND least(np, nr) >= 0.78 * greatest(np, nr) GROUP")}, scored AS (SELECT id, ref, CAST(shared AS DOUBLE) / (np + nr - shared) AS jaccard FROM shared)
+SELECT id, ref, jaccard FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY jaccard DESC, ref) = 1 AND jaccard >= 0.78
+""")
+def overlap_near(spark, sf_dir):
+    return overlap.near_matches(*overlap_sides(spark, sf_dir), threshold=0.78, cap=None)
+
+
 def pool(spark, sf_dir):
     """Documents with a quality, a band and a cell; the band is part of the cell."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "lang", "source", "n_chars")
