@@ -264,10 +264,10 @@ def label_signals(spark, sf_dir):
     return event_signals(spark, sf_dir).select("event_id", F.round(d, 6).alias("difficulty"), signals.quality(F.col("valid"), F.col("confidence"), F.col("agreement")).alias("quality"))
 
 
-@query("SELECT user_id, event_type, count(*) AS n, quantile_cont(value, 0.1) AS p10, avg(value) AS mean FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, count(*) AS n, round(quantile_cont(value, 0.1), 6) AS p10, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def percentile_events(spark, sf_dir):
     values = table(spark, sf_dir, "events").groupBy("user_id", "event_type")
-    return values.agg(F.count("*").alias("n"), F.percentile("value", 0.1).alias("p10"), F.avg("value").alias("mean"))
+    return values.agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.1), 6).alias("p10"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 BM25_SQL = r"""
