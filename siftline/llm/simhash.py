@@ -128,14 +128,14 @@ class Forest:
             x = self.parent[up]
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.roots(a), self.roots(b)
-        apart = a != b
-        if not apart.any():
-            return
-        for x, y in np.unique(np.stack([a[apart], b[apart]], 1), axis=0):
-            x, y = (int(self.roots(np.array([v]))[0]) for v in (x, y))
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
+        """Each round hangs the larger root of every pair below the smallest root that it meets."""
+        while True:
+            a, b = self.roots(a), self.roots(b)
+            apart = a != b
+            if not apart.any():
+                return
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
 def shard_links(fp: np.ndarray, home: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
