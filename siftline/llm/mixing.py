@@ -26,7 +26,7 @@ MOST = 3
 #: Rounds of the swap-or-not shuffle that permutes a source's blocks.
 ROUNDS = 32
 #: Rows of a group inside which a running sum is taken.
-GROUP = 20_000
+GROUP = 2_000
 #: Equal steps of the inverse distribution function by which slots meet sources.
 STEPS = 4096
 
