@@ -14,7 +14,7 @@ from siftline.llm.decontaminate import decontaminate
 from siftline.llm.mixing import mix_texts
 from siftline.llm.quality import keep_good
 from siftline.llm.queries import tokenizer_path
-from siftline.llm.simhash import keep_one
+from siftline.llm.similar import keep_one_similar
 from siftline.llm.token_files import token_table
 from siftline.session import table
 
@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates."""
-    return keep_one(docs).select(*COLUMNS)
+    """The document of the smallest id of each group of near-duplicates: five words, Jaccard similarity 0.8 or more."""
+    return keep_one_similar(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

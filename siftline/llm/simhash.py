@@ -228,6 +228,18 @@ def near_duplicates(docs: DataFrame, *, reach: int = 3, shard: int = SHARD, doc_
     return signed.join(of, "fp").select(F.col("d").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "h")
 
 
+def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``docs`` (doc_id, text) for each root of ``rooted`` (d, h, root), with all columns.
+
+    It is the row of the smallest (id, text hash); a null id comes after all others.  Of rows that repeat both, one
+    is kept.
+    """
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("void"), "d", "h")).alias("r"))
+    chosen = least.select(F.xxhash64(F.col("r.void"), F.col("r.d"), F.col("r.h")).alias("_row")).distinct()
+    row = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return docs.withColumn("_row", row).join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all their columns; one row of repeats.
 
