@@ -211,21 +211,26 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, reach: int = 3, shard: int = SHARD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def rooted(docs: DataFrame, *, reach: int = 3, shard: int = SHARD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """d, fp, h, root (the smallest fingerprint of its component); one row per row of ``docs``."""
+    shared_root(docs.sparkSession)
+    signed = stash(fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
+    classes = stash(signed.select("fp").distinct(), "classes")
+    root = components(links(classes, reach, shard))
+    of = classes.join(root, classes.fp == root.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return signed.join(of, "fp")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 lower-case hex digits), component_id, h (text hash).
 
     ``component_id`` is the smallest document id reachable by links of at most ``reach`` differing bits, the
     document's own included; texts without words share fingerprint 0.  Rows with a null id take part and get
     their component's smallest id (null if it has none).  No documents give no rows.
     """
-    shared_root(docs.sparkSession)
-    signed = stash(fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
-    classes = stash(signed.groupBy("fp").agg(F.min("d").alias("least")), "classes")
-    root = components(links(classes, reach, shard))
-    rooted = classes.join(root, classes.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return signed.join(of, "fp").select(F.col("d").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "h")
+    of = rooted(docs, **options)
+    least = of.groupBy("root").agg(F.min("d").alias("component_id"))
+    return of.join(least, "root").select(F.col("d").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "h")
 
 
 def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -241,11 +246,8 @@ def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with all their columns; one row of repeats.
+    """The row of the smallest id of each component, with all columns of ``docs``; one row of repeats.
 
-    Rows with a null id in a component that has none are kept once.
+    A component that has only null ids keeps one row too, that of the smallest text hash.
     """
-    first = near_duplicates(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    chosen = first.groupBy("_id").agg(F.min("_h").alias("_h"))
-    same = F.col("_id").eqNullSafe(docs.doc_id) & (F.col("_h") == F.xxhash64(docs.text))
-    return docs.join(chosen, same, "left_semi").dropDuplicates(["doc_id"])
+    return first_of_each(docs, rooted(docs, **options))

@@ -108,3 +108,12 @@ def test_long_chains(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(500)], k=60))
+    a, b, c, d, e = (text() for _ in range(5))
+    docs = [(None, a), (None, b), (None, c), (None, c), (1, d), (1, e), (1, e), (2, d), (3, e), (None, d)]
+    kept = keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, a), (None, b), (None, c), (1, d), (1, e)]))
