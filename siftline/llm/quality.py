@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models are bags of hashed n-grams: the target model from labelled good documents, the raw model
-from all documents.  The n-grams are the first four bytes of every word (they tell words, inflected forms, shouting
-and stray symbols) and pairs of equal words, taken together as the document's share and number of such pairs.
+from all documents.  The n-grams are whole words and pairs of neighbouring words.  The first four bytes of words (they
+tell inflected forms and stray symbols) and the share and number of pairs of equal words are additional features.
 Counts are numbers of documents, so that one long or repetitive document does not make a model.
 
 A document's log weight is the sum over its n-grams of the log ratio of the two models.  Ratios are taken relative
@@ -11,7 +11,8 @@ that the labelled documents had no fair chance to show is no evidence.  The samp
 Gumbel top-k: every document's log weight plus Gumbel noise (hashed from its id and text), of which the k largest
 are kept.
 
-``k`` is the number of all documents whose log weight reaches a cut that is fitted on the labelled rows.  Labelled
+``k`` is the number of all documents whose log weight reaches a cut that is fitted on the labelled rows; good ones
+are weighed for it by a model without themselves, else they would lie above all others.  Labelled
 rows are a bounded sample of ``LABELLED`` rows at most; counts, weights, k and the k-th key are over all rows.
 """
 
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import stash
-from siftline.llm.hashing import flat, heads, slices, tokens
+from siftline.llm.hashing import flat, heads, mixed, slices, tokens
 
 #: At most so many labelled rows take part in the fit, those of the smallest hashed ids.
 LABELLED = 500_000
-#: Buckets of word heads and their bytes, of shares and of numbers of equal pairs; parts in which counts move.
-HEADS, WIDTH, SHARES, REPEATS, PARTS = 1 << 16, 4, 16, 48, 4
-SIZE = HEADS + SHARES + REPEATS
+#: Buckets of words and of pairs, of word heads and their bytes, of shares and of numbers of equal pairs; parts in
+#: which counts move.
+WORDS, PAIRS, HEADS, WIDTH, SHARES, REPEATS, PARTS = 1 << 17, 1 << 17, 1 << 16, 4, 16, 48, 4
+SIZE = WORDS + PAIRS + HEADS + SHARES + REPEATS
 #: Pseudo-count of the ratios; standard deviations and log ratio below which a ratio counts as 1.
 PRIOR, CHANCE, SMALL = 0.5, 2.0, 0.7
 
@@ -40,13 +42,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, at = tokens(data, offsets)
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    head = (heads(data, offsets, WIDTH) & np.uint64(HEADS - 1)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-    same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-    pairs = np.bincount(doc[1:][same], minlength=len(n))
-    share = HEADS + np.minimum(SHARES - 1, SHARES * pairs // np.maximum(n, 1))
-    number = HEADS + SHARES + np.log2(1 + pairs).astype(np.int64)
+    word = (h & np.uint64(WORDS - 1)).astype(np.int64)
+    beside = doc[1:] == doc[:-1]
+    pair = WORDS + (mixed(h[:-1] * np.uint64(3) + h[1:])[beside] & np.uint64(PAIRS - 1)).astype(np.int64)
+    head = WORDS + PAIRS + (heads(data, offsets, WIDTH) & np.uint64(HEADS - 1)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
+    pairs = np.bincount(doc[1:][(h[1:] == h[:-1]) & beside], minlength=len(n))
+    share = SIZE - REPEATS - SHARES + np.minimum(SHARES - 1, SHARES * pairs // np.maximum(n, 1))
+    number = SIZE - REPEATS + np.log2(1 + pairs).astype(np.int64)
     some = np.flatnonzero(n)
-    return np.concatenate([head, share[some], number[some]]), np.concatenate([doc, some, some]), n
+    return np.concatenate([word, pair, head, share[some], number[some]]), np.concatenate([doc, doc[1:][beside], doc, some, some]), n
 
 
 def present(bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -85,35 +89,40 @@ def _add(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log ratio of target to raw for each bucket, 0 where it is small or within chance."""
-    n, m = raw[-1], target[-1]
-    if not m:
+def log_ratio(raw: np.ndarray, target: np.ndarray, left_out: int = 0) -> np.ndarray:
+    """Log ratio of target to raw for each bucket, 0 where it is small or within chance.
+
+    With ``left_out`` 1 it is the ratio that a document of the target model has for its own buckets without itself.
+    """
+    n, m = raw[-1], target[-1] - left_out
+    if m < 1:
         return np.zeros(SIZE)
-    expected = raw * (m / n)
-    ratio = np.log((target + PRIOR) / (expected + PRIOR))
+    expected = raw * (target[-1] / n)
     usual = expected[:-1] > 20
-    ratio -= np.median(ratio[:-1][usual]) if usual.any() else 0.0
+    shift = np.median(np.log((target + PRIOR) / (expected + PRIOR))[:-1][usual]) if usual.any() else 0.0
+    expected, target = raw * (m / n), np.maximum(target - left_out, 0)
+    ratio = np.log((target + PRIOR) / (expected + PRIOR)) - shift
     sure = np.abs(target - expected) > CHANCE * np.sqrt(expected + 1)
     return np.where(sure & (np.abs(ratio) > SMALL), ratio, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[np.ndarray, DataFrame]:
-    """The log ratios and the labelled sample (doc_id, good); ``docs`` are doc_id, text."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """The log ratios, those of a target document without itself, and the labelled sample (doc_id, good); ``docs`` are doc_id, text."""
     ranked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min((F.coalesce(F.col("quality") == 1, F.lit(False)) & F.coalesce(F.col("toxic") == 0, F.lit(False))).cast("int")).alias("good"))
     sample = stash(ranked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit), "labels")
     good = F.broadcast(sample.where("good = 1"))  # bounded by ``limit`` rows of 12 bytes
     marked = docs.join(good, "doc_id", "left").select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("good", F.lit(0)).alias("good"))
     summed = marked.mapInArrow(_count, "part int, counts binary").repartition(2 * PARTS, "part").mapInArrow(_add, "part int, counts binary")
     total = np.zeros((2 * PARTS, SIZE // PARTS), np.int64)
-    for row in summed.collect():  # 1 MB, whatever the input
+    for row in summed.collect():  # 5 MB, whatever the input
         total[row.part] += np.frombuffer(row.counts, np.int64)
-    return log_ratio(*total.reshape(2, -1)), sample
+    raw, target = total.reshape(2, -1)
+    return log_ratio(raw, target), log_ratio(raw, target, 1), sample
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """doc_id, h (hash of the text), n_words, log_weight (null without words)."""
-    held = docs.sparkSession.sparkContext.broadcast(ratio)  # 0.5 MB
+    held = docs.sparkSession.sparkContext.broadcast(ratio)  # 2.6 MB
 
     def score(batches):
         ratio = held.value
@@ -180,9 +189,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, limit: int = LABELLED, seed:
     with null ids are ignored, other nulls count as not good, and an id labelled twice is good only if both say
     so.  Without labelled good rows all ratios are 1 and every document with words is selected.
     """
-    ratio, sample = fit(docs.select("doc_id", "text"), labels, limit)
+    ratio, without, sample = fit(docs.select("doc_id", "text"), labels, limit)
     scored = stash(log_weights(docs, ratio), "weights")
-    seen = scored.join(F.broadcast(sample), "doc_id").where("log_weight is not null").select("log_weight", "good").limit(2 * limit).toPandas()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    fair = log_weights(labelled.where("good = 1"), without).withColumn("good", F.lit(1)).unionAll(log_weights(labelled.where("good = 0"), ratio).withColumn("good", F.lit(0)))
+    seen = fair.where("log_weight is not null").select("log_weight", "good").limit(2 * limit).toPandas()
     cut = best_cut(seen["log_weight"].to_numpy(float), seen["good"].to_numpy(bool)) if seen["good"].any() else -np.inf
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "h"), 11) + 0.5) / float(1 << 53)
     keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))

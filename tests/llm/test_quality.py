@@ -74,3 +74,24 @@ def test_no_labels_and_no_documents(spark):
     d, lab = frames(spark, docs, labels)
     assert classify(d.where("false"), lab).collect() == []
     assert all(r.selected for r in classify(d, lab.where("false")).collect())
+
+
+def test_words_that_share_a_prefix_with_clean_ones(spark):
+    rng = random.Random(3)
+    stems = ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(300)]
+    clean, insults = [s + e for s in stems for e in ("", "er")], [stems[i] + "less" for i in range(5)]
+    docs, labels, kinds = [], [], {}
+    for i in range(1500):
+        words = rng.choices(clean, k=rng.choice([40, 100]))
+        kinds[i] = rng.random() < 0.8
+        if not kinds[i]:
+            for _ in range(6):
+                words.insert(rng.randrange(len(words)), rng.choice(insults))
+        docs.append((i, " ".join(words)))
+        if rng.random() < 0.5:
+            labels.append((i, 1, int(not kinds[i])))
+    seen = {x[0] for x in labels}
+    out = [r for r in classify(*frames(spark, docs, labels)).collect() if r.doc_id not in seen]
+    rate = lambda k: sum(r.selected for r in out if kinds[r.doc_id] == k) / sum(kinds[r.doc_id] == k for r in out)
+    print(rate(True), rate(False))
+    assert rate(True) > 0.95 and rate(False) < 0.05
