@@ -114,7 +114,23 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
-#: A line that only claims a copyright.
+#: Words after "copyright" or "(c)" that belong to a sentence of a license and name no holder.
+BODY = r"notices?|holders?|holder's|owners?|laws?|licen[cs]es?|statements?|interests?|protection|rights?|status|disclaimers?|and|or|nor|in|on|of|to|is|are|as|for|if|that|which|with|under|such|this|your|you|any|all|a|an|shall|may|must|does|do|not"
+#: What ends a claim on the same line: the license that goes with it.
+GRANT = r"(?:licen[cs]ed|released|distributed|published|available) under|permission (?:is|to)|redistribution and|this [a-z]+ is (?:free|licen[cs]ed|released|distributed|provided|published|made)"
+#: A claim of a copyright at the start of a line, to the line's end or to the license that it names.
+CLAIM = (
+    r"(?m)^[^\n0-9A-Za-z]*(?:"
+    r"(?:copyright|\(c\)|©)(?:[ \t,:]*(?:copyright|\(c\)|©))+"  # a sign
+    r"|©"
+    r"|(?:copyright|\(c\))(?:[ \t,:]|by )*[0-9]{4}\b"  # a year
+    rf"|copyright[ \t:]+(?:by[ \t]+)?(?!(?:{BODY})\b)[^\s0-9]"  # a holder
+    rf"|\(c\)[ \t]+(?!(?:{BODY}|the)\b)(?=[^\s]+(?:[ \t]+[^\s]+){{0,4}}[ \t]*$)"  # no item of a list
+    r"|all rights reserved"
+    rf")[^\n]*?(?=\b(?:{GRANT})|$)"
+)
+
+#: What the SQL takes for a claim: any line that begins so.
 COPYRIGHT = r"(?m)^[^\n0-9A-Za-z]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
@@ -124,7 +140,7 @@ PUNCTUATION = r"[\x00-\x09\x0b-/:-`{-\x7f‘’“”–—«»©]+"
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text with its line ends; words stand between two blanks each."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, " "), PUNCTUATION, "  ")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), CLAIM, " "), PUNCTUATION, "  ")
     out = F.concat(F.lit(" "), F.replace(out, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))

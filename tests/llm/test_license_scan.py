@@ -32,3 +32,15 @@ def test_spellings_side_by_side(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_only_claims_of_copyright_are_stripped(spark):
+    from siftline.llm.license_scan import BSD_2
+
+    wrap = lambda text, word: text.replace(f" {word}", f"\n{word}")
+    claims = ["Copyright (c) 2020 Some One", "Copyright 1999-2004, X", "(c) 2001 X", "© Some One", "(c) Some One", "Copyright: Some One <a@b.c>", "Copyright (c) Some One. All rights reserved."]
+    rows = [(i, claim + "\n\n" + wrap(ISC, "copyright")) for i, claim in enumerate(claims)]
+    rows += [(10, wrap(MIT, "copyright")), (11, wrap(MIT, "COPYRIGHT")), (12, wrap(wrap(BSD_3, "COPYRIGHT"), "copyright")), (13, wrap(BSD_2, "copyright"))]
+    assert {d: lic for d, lic, *_ in run(spark, rows)} == {**dict.fromkeys(range(7), "ISC"), 10: "MIT", 11: "MIT", 12: "BSD-3-Clause", 13: "BSD-2-Clause"}
+    one = "Copyright 2024 X. Licensed under the Apache License, Version 2.0."
+    assert run(spark, [(1, one), (2, "text\n" + one)]) == [(1, "Apache-2.0", 1, "Apache-2.0"), (2, None, 1, "Apache-2.0")]
