@@ -81,23 +81,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.searchsorted(starts, offsets)
 
 
-def heads(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the first ``width`` bytes, or fewer, of each word that :func:`tokens` finds."""
-    token, value, _ = kept("hash-tables", _tables)
-    is_token = token[data]
-    first = is_token.copy()
-    first[1:] &= ~is_token[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
-    first[inner] = is_token[inner]
-    starts = np.flatnonzero(first)
-    out, inside = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool)
-    for i in range(width):
-        at = np.minimum(starts + i, len(data) - 1)
-        inside &= (starts + i < len(data)) & is_token[at] & (~first[at] if i else True)
-        out = np.where(inside, mixed(out * np.uint64(31) + value[data[at]]), out)
-    return out
-
-
 def slices(texts: pa.Array, most: int = 4 << 20):
     """(first row, rows) of parts of an array of strings of about ``most`` bytes each."""
     sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))

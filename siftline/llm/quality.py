@@ -1,19 +1,21 @@
 """Quality classifier by importance resampling.
 
-Two generative models are bags of hashed n-grams: the target model from labelled good documents, the raw model
-from all documents.  The n-grams are whole words and pairs of neighbouring words.  The first four bytes of words (they
-tell inflected forms and stray symbols) and the share and number of pairs of equal words are additional features.
-Counts are numbers of documents, so that one long or repetitive document does not make a model.
-
-A document's log weight is the sum over its n-grams of the log ratio of the two models.  Ratios are taken relative
-to the median one, so length alone is no merit, and a ratio that is small or within chance counts as 1: an n-gram
-that the labelled documents had no fair chance to show is no evidence.  The sample is drawn without replacement by
-Gumbel top-k: every document's log weight plus Gumbel noise (hashed from its id and text), of which the k largest
-are kept.
-
-``k`` is the number of all documents whose log weight reaches a cut that is fitted on the labelled rows; good ones
-are weighed for it by a model without themselves, else they would lie above all others.  Labelled
-rows are a bounded sample of ``LABELLED`` rows at most; counts, weights, k and the k-th key are over all rows.
+Two generative models are bags of hashed n-grams, whole words and pairs of neighbouring words: the target model from
+labelled good documents, the raw model from all documents.  Each is the share of every bucket among all n-grams
+that the model has seen, with one pseudo-count a bucket; an n-gram that a document has c times counts c ** 0.7,
+and the counts of a document that come to more than ``LONG`` are scaled to it, so that one long or repetitive document
+does not make a model.
+
+A document's log weight is the sum over its n-grams of the log ratio of the two models, taken for a text of
+``LENGTH`` n-grams so that length alone is neither merit nor fault.  A bucket whose count in the target model is within
+chance of what the raw model expects has ratio 1: an n-gram that the labelled documents had no fair chance to show is
+no evidence.  The sample is drawn without replacement by Gumbel top-k: every document's log weight plus Gumbel noise
+(hashed from its id and text), of which the k largest are kept.
+
+``k`` is the number of all documents whose log weight reaches a cut that is fitted on labelled rows that the target
+model has not seen: half of the good ones, by a hash of the id, make the target model, and the others and the bad ones
+the cut.  Labelled rows are a bounded sample of ``LABELLED`` rows at most; counts, weights, k and the k-th key are over
+all rows.
 """
 
 from __future__ import annotations
@@ -24,60 +26,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import stash
-from siftline.llm.hashing import flat, heads, mixed, slices, tokens
+from siftline.llm.hashing import flat, mixed, slices, tokens
 
 #: At most so many labelled rows take part in the fit, those of the smallest hashed ids.
 LABELLED = 500_000
-#: Buckets of words and of pairs, of word heads and their bytes, of shares and of numbers of equal pairs; parts in
-#: which counts move.
-WORDS, PAIRS, HEADS, WIDTH, SHARES, REPEATS, PARTS = 1 << 17, 1 << 17, 1 << 16, 4, 16, 48, 4
-SIZE = WORDS + PAIRS + HEADS + SHARES + REPEATS
-#: Pseudo-count of the ratios; standard deviations and log ratio below which a ratio counts as 1.
-PRIOR, CHANCE, SMALL = 0.5, 2.0, 0.7
+#: Buckets of words and of pairs, and parts in which counts move.
+WORDS, PAIRS, PARTS = 1 << 18, 1 << 18, 4
+SIZE = WORDS + PAIRS
+#: Pseudo-count of a bucket; standard deviations below which a ratio counts as 1; n-grams for which a weight stands.
+PRIOR, CHANCE, LENGTH = 1.0, 3.0, 1000
+#: Power of the count that an n-gram has in a document, and what a document's counts come to at most.
+DAMP, LONG = 0.7, 4000.0
+#: Parts of a count that are told apart: counts are whole numbers of them, so sums in any order agree.
+UNITS = 1 << 16
+#: Bytes of text whose n-grams are held at once.
+AT_ONCE = 2 << 20
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the n-grams of all texts, each one's text, and the number of words of each text."""
-    data, offsets = flat(texts)
-    h, at = tokens(data, offsets)
+    h, at = tokens(*flat(texts))
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    word = (h & np.uint64(WORDS - 1)).astype(np.int64)
     beside = doc[1:] == doc[:-1]
+    word = (h & np.uint64(WORDS - 1)).astype(np.int64)
     pair = WORDS + (mixed(h[:-1] * np.uint64(3) + h[1:])[beside] & np.uint64(PAIRS - 1)).astype(np.int64)
-    head = WORDS + PAIRS + (heads(data, offsets, WIDTH) & np.uint64(HEADS - 1)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-    pairs = np.bincount(doc[1:][(h[1:] == h[:-1]) & beside], minlength=len(n))
-    share = SIZE - REPEATS - SHARES + np.minimum(SHARES - 1, SHARES * pairs // np.maximum(n, 1))
-    number = SIZE - REPEATS + np.log2(1 + pairs).astype(np.int64)
-    some = np.flatnonzero(n)
-    return np.concatenate([word, pair, head, share[some], number[some]]), np.concatenate([doc, doc[1:][beside], doc, some, some]), n
+    return np.concatenate([word, pair]), np.concatenate([doc, doc[1:][beside]]), n
 
 
-def present(bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Number of documents that have each bucket."""
-    return np.bincount(np.unique(doc * SIZE + bucket) % SIZE, minlength=SIZE)
+def damped(bucket: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Sums over documents of each bucket's count to the power ``DAMP``, scaled where a document has over ``LONG``; in ``UNITS``."""
+    keys, counts = np.unique(doc * SIZE + bucket, return_counts=True)
+    weights, of = counts**DAMP, keys // SIZE
+    scale = np.minimum(1, LONG / np.maximum(np.bincount(of, weights=weights), 1))
+    return np.bincount(keys % SIZE, weights=np.rint(weights * scale[of] * UNITS), minlength=SIZE).astype(np.int64)
 
 
 def _count(batches):
     """Counts of a whole partition: one row for each kind (raw, target) and part of the vector."""
     total = np.zeros((2, SIZE), np.int64)
-    texts_seen = np.zeros(2, np.int64)
     for batch in batches:
         texts, good = batch.column("text"), batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
-        for a, n in slices(texts):
+        for a, n in slices(texts, AT_ONCE):
             bucket, doc, _ = features(texts.slice(a, n))
-            chosen = good[a : a + n]
-            texts_seen += n, chosen.sum()
-            total[0] += present(bucket, doc)
-            if chosen.any():
-                total[1] += present(bucket[chosen[doc]], doc[chosen[doc]])
-    total[:, -1] = texts_seen  # no number of pairs is large enough to use the last bucket
-    yield _rows(total)
-
-
-def _rows(total):
+            total[0] += damped(bucket, doc)
+            if (chosen := good[a : a + n]).any():
+                total[1] += damped(bucket[chosen[doc]], doc[chosen[doc]])
     parts = total.reshape(2 * PARTS, -1)
-    return pa.RecordBatch.from_arrays([pa.array(range(2 * PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(range(2 * PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
 
 
 def _add(batches):
@@ -89,48 +85,40 @@ def _add(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray, left_out: int = 0) -> np.ndarray:
-    """Log ratio of target to raw for each bucket, 0 where it is small or within chance.
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio of the target model to the raw one for each bucket, 0 where it is within chance."""
+    if not target.any():
+        return np.zeros(len(raw))
+    expected = raw * (target.sum() / raw.sum())
+    p, q = (target + PRIOR) / (target + PRIOR).sum(), (raw + PRIOR) / (raw + PRIOR).sum()
+    return np.where(np.abs(target - expected) > CHANCE * np.sqrt(expected + 1), np.log(p / q), 0.0)
 
-    With ``left_out`` 1 it is the ratio that a document of the target model has for its own buckets without itself.
-    """
-    n, m = raw[-1], target[-1] - left_out
-    if m < 1:
-        return np.zeros(SIZE)
-    expected = raw * (target[-1] / n)
-    usual = expected[:-1] > 20
-    shift = np.median(np.log((target + PRIOR) / (expected + PRIOR))[:-1][usual]) if usual.any() else 0.0
-    expected, target = raw * (m / n), np.maximum(target - left_out, 0)
-    ratio = np.log((target + PRIOR) / (expected + PRIOR)) - shift
-    sure = np.abs(target - expected) > CHANCE * np.sqrt(expected + 1)
-    return np.where(sure & (np.abs(ratio) > SMALL), ratio, 0.0)
-
-
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """The log ratios, those of a target document without itself, and the labelled sample (doc_id, good); ``docs`` are doc_id, text."""
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[np.ndarray, DataFrame]:
+    """The log ratios and the labelled sample (doc_id, good, fits: is in the target model); ``docs`` are doc_id, text."""
     ranked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min((F.coalesce(F.col("quality") == 1, F.lit(False)) & F.coalesce(F.col("toxic") == 0, F.lit(False))).cast("int")).alias("good"))
-    sample = stash(ranked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit), "labels")
-    good = F.broadcast(sample.where("good = 1"))  # bounded by ``limit`` rows of 12 bytes
-    marked = docs.join(good, "doc_id", "left").select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("good", F.lit(0)).alias("good"))
+    drawn = ranked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    sample = stash(drawn.withColumn("fits", ((F.col("good") == 1) & (F.pmod(F.xxhash64("doc_id", F.lit("fits")), F.lit(2)) == 0)).cast("int")), "labels")
+    fits = F.broadcast(sample.where("fits = 1").select("doc_id", F.lit(1).alias("good")))  # bounded by ``limit`` rows of 12 bytes
+    marked = docs.join(fits, "doc_id", "left").select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("good", F.lit(0)).alias("good"))
     summed = marked.mapInArrow(_count, "part int, counts binary").repartition(2 * PARTS, "part").mapInArrow(_add, "part int, counts binary")
     total = np.zeros((2 * PARTS, SIZE // PARTS), np.int64)
-    for row in summed.collect():  # 5 MB, whatever the input
+    for row in summed.collect():  # 8 MB, whatever the input
         total[row.part] += np.frombuffer(row.counts, np.int64)
-    raw, target = total.reshape(2, -1)
-    return log_ratio(raw, target), log_ratio(raw, target, 1), sample
+    return log_ratio(*total.reshape(2, -1) / UNITS), sample
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """doc_id, h (hash of the text), n_words, log_weight (null without words)."""
-    held = docs.sparkSession.sparkContext.broadcast(ratio)  # 2.6 MB
+    held = docs.sparkSession.sparkContext.broadcast(ratio)  # 4 MB
 
     def score(batches):
         ratio = held.value
         for batch in batches:
             texts, outs = batch.column("text"), []
-            for a, n in slices(texts):
+            for a, n in slices(texts, AT_ONCE):
                 bucket, doc, words = features(texts.slice(a, n))
-                outs.append((words, np.bincount(doc, weights=ratio[bucket], minlength=n)))
+                outs.append((words, LENGTH * np.bincount(doc, weights=ratio[bucket], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1)))
             count = np.concatenate([x for x, _ in outs]) if outs else np.zeros(0, np.int64)
             weight = np.concatenate([x for _, x in outs]) if outs else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(count, pa.int64()), pa.array(weight, mask=count == 0)], ["doc_id", "h", "n_words", "log_weight"])
@@ -187,14 +175,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, limit: int = LABELLED, seed:
     ``selected`` marks the k largest keys; rows whose key equals the k-th are all selected, so repeated rows
     share their fate.  Texts without words (null, empty, blank) have no weight and are never selected.  Labels
     with null ids are ignored, other nulls count as not good, and an id labelled twice is good only if both say
-    so.  Without labelled good rows all ratios are 1 and every document with words is selected.
+    so.  Without labelled good rows on both sides of the split every document with words is selected.
     """
-    ratio, without, sample = fit(docs.select("doc_id", "text"), labels, limit)
+    ratio, sample = fit(docs.select("doc_id", "text"), labels, limit)
     scored = stash(log_weights(docs, ratio), "weights")
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    fair = log_weights(labelled.where("good = 1"), without).withColumn("good", F.lit(1)).unionAll(log_weights(labelled.where("good = 0"), ratio).withColumn("good", F.lit(0)))
-    seen = fair.where("log_weight is not null").select("log_weight", "good").limit(2 * limit).toPandas()
-    cut = best_cut(seen["log_weight"].to_numpy(float), seen["good"].to_numpy(bool)) if seen["good"].any() else -np.inf
+    fair = scored.where("log_weight is not null").join(F.broadcast(sample.where("fits = 0")), "doc_id")
+    once = fair.groupBy("doc_id", "h").agg(F.min("log_weight").alias("log_weight"), F.min("good").alias("good"))
+    seen = once.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(2 * limit).select("log_weight", "good").toPandas()
+    cut = best_cut(seen["log_weight"].to_numpy(float), seen["good"].to_numpy(bool)) if ratio.any() and seen["good"].any() else -np.inf
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "h"), 11) + 0.5) / float(1 << 53)
     keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
     k = scored.where(F.col("log_weight") >= F.lit(float(cut))).count()

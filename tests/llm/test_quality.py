@@ -1,8 +1,14 @@
+import collections
+import math
 import random
+import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm.quality import classify, keep_good, kth_largest
+from siftline.llm import quality
+from siftline.llm.quality import classify, fit, keep_good, kth_largest, log_weights
 
 
 def corpus(n=1500):
@@ -95,3 +101,35 @@ def test_words_that_share_a_prefix_with_clean_ones(spark):
     rate = lambda k: sum(r.selected for r in out if kinds[r.doc_id] == k) / sum(kinds[r.doc_id] == k for r in out)
     print(rate(True), rate(False))
     assert rate(True) > 0.95 and rate(False) < 0.05
+
+
+def test_models_and_weights_by_brute_force(spark):
+    docs, labels, _ = corpus(300)
+    docs += [(None, docs[0][1]), (9000, None), (9001, "one"), docs[3], (9002, docs[5][1] * 400)]
+    d, lab = frames(spark, docs, labels)
+    ratio, sample = fit(d.select("doc_id", "text"), lab)
+    fits = {r.doc_id for r in sample.where("fits = 1").collect()}
+    good = {i for i, q, t in labels if q == 1 and t == 0}
+    assert fits < good and len(good) / 4 < len(fits) < 3 * len(good) / 4
+
+    def grams(text):
+        w = [x for x in re.split(r"[ \t-\r]+", (text or "").lower()) if x]
+        return w + list(zip(w, w[1:]))
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in docs:
+        c = collections.Counter(grams(t))
+        scale = min(1, 4000 / max(1, sum(n**0.7 for n in c.values())))
+        for x, n in c.items():
+            raw[x] += n**0.7 * scale
+            target[x] += n**0.7 * scale * (i in fits)
+    r, g = sum(raw.values()), sum(target.values())
+    ratios = {}
+    for x, n in raw.items():
+        m, e = target[x], n * g / r
+        p, q = (m + 1) / (g + quality.SIZE), (n + 1) / (r + quality.SIZE)
+        ratios[x] = math.log(p / q) if abs(m - e) > 3 * math.sqrt(e + 1) else 0.0
+    assert np.isclose(np.sort(ratio[ratio != 0]), np.sort([x for x in ratios.values() if x]), atol=1e-5).all()  # no bucket of these is shared
+    want = {i: 1000 * sum(ratios[x] for x in grams(t)) / len(grams(t)) if grams(t) else None for i, t in docs}
+    for row in log_weights(d, ratio).collect():
+        assert row.log_weight == (pytest.approx(want[row.doc_id], abs=1e-2) if want[row.doc_id] is not None else None)
