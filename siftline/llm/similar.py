@@ -33,11 +33,11 @@ from siftline.llm.simhash import components, first_of_each, links
 
 #: Common shingles that are kept at most (12 bytes each), bits of a shingle that are counted, shingles that a task
 #: gathers before it sorts them.
-COMMON, COUNTED, GATHER = 2_000_000, 40, 4_000_000
+COMMON, COUNTED, GATHER = 2_000_000, 40, 2_000_000
 #: The similarity of a link, as a fraction.
 PART, WHOLE = 4, 5
 #: Classes of a group that every other is checked against, by round.
-HUBS = (1, 8, 64)
+HUBS = (8, 64)
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
