@@ -99,3 +99,28 @@ def test_texts(spark):
 def test_empty(spark):
     assert mix_sizes(make(spark, [])).collect() == []
     assert [r.taken for r in mix_sizes(make(spark, [(1, None, None, None, None), (2, "", "en", "a", 0)])).collect()] == [0, 0]
+
+
+def test_small_sources_meet_their_targets(spark):
+    rng = random.Random(6)
+    for sizes in ({"a": [100], "b": [100]}, {"a": [300], "b": [1], None: [100, 7]}, {"a": [1], "b": [1], "c": [1], "d": [90, 300, 4000]}, {"x": [129, 1, 0], "y": [5] * 60}):
+        rows = [(rng.randrange(1 << 40), " ".join(["w"] * n), "en", s, 0) for s, ns in sizes.items() for n in ns]
+        want = fill({s: sum(ns) for s, ns in sizes.items()})
+        names, taken = sorted(s for s in sizes if s is not None) + [None] * (None in sizes), collections.Counter()
+        for r in mix_sizes(make(spark, rows)).collect():
+            taken[names[r.source_rank]] += r.taken
+            assert r.taken <= 3 * r.size
+        for s in sizes:
+            assert abs(taken[s] - want[s]) <= 0.5 + 1e-9, (sizes, s, taken[s], want[s])
+
+
+def test_very_long_text_and_rows_that_differ_only_in_source(spark):
+    long = " ".join(str(i) for i in range(400_000))
+    rows = [(1, long, "en", "a", 0), (2, "x y z", "en", "b", 0), (2, "x y z", "en", "c", 0)]
+    out = mix_texts(make(spark, rows)).collect()
+    want = {s: 0 for s in "abc"}
+    for r in out:
+        want[r.source] += len(r.text.split())
+        numbers = [int(x) for x in r.text.split()] if r.source == "a" else []
+        assert numbers == sorted(set(numbers))
+    assert want["b"] == want["c"] == 9 and abs(want["a"] - (400_006 - 18)) <= 1
