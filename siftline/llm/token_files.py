@@ -35,8 +35,11 @@ from pyspark.sql import functions as F
 from siftline.llm.common import kept, map_file, put_file, scratch, stash
 
 MAGIC = b"DACIDS01"
-#: Bits between entries of a rank directory; tokens after which a file is closed; distinct pieces kept by a worker.
-RANK, FILE_TOKENS, KEPT_PIECES = 512, 4_000_000, 700_000
+#: Bits between entries of a rank directory; tokens after which a file is closed.
+RANK, FILE_TOKENS = 512, 4_000_000
+#: Bytes of pieces and their ids that a worker keeps; bytes that a piece takes beside its characters and ids; pieces
+#: of more characters than this are not kept.
+KEPT_BYTES, PIECE_BYTES, LONG_PIECE = 96 << 20, 120, 32
 
 #: A blank run with the word after it, or blanks at the end: no token of a byte-level BPE with the usual
 #: splitting pattern reaches over a place where a blank follows another character.
@@ -52,40 +55,66 @@ class Codes(dict):
     def __init__(self, pieces=()):
         super().__init__((p, i) for i, p in enumerate(pieces))
         self.new: list[str] = []
+        self.count = len(self)
 
     def __missing__(self, piece: str) -> int:
         self.new.append(piece)
-        self[piece] = n = len(self)
+        self[piece] = n = self.count
+        self.count += 1
         return n
 
 
+def splits(path: str) -> bool:
+    """Whether a tokenizer's file is a byte-level BPE that encodes the pieces of :data:`PIECE` one by one.
+
+    That takes the usual splitting pattern without a prefix space, no normaliser, no options that cross or drop
+    pieces, and ``SPECIAL`` as the only added token.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    whole = model.get("type", "BPE") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    return bool(plain and whole and not spec.get("normalizer") and all(x.get("content") == SPECIAL for x in spec.get("added_tokens") or []))
+
+
 class Pieces:
     """Encodes texts by their pieces; each distinct piece goes through the tokenizer once while it is kept.
 
-    When too many are kept, those used once since the last time go.
+    When pieces and ids take more than ``kept_bytes``, those used once since the last time go (all, if that is not
+    enough).  Long pieces are dropped after the call.  A tokenizer of another kind than :func:`splits` gets whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.codes, self.used = Codes(), np.zeros(0, np.int64)
+        self.tokenizer, self.splits, self.kept_bytes = Tokenizer.from_file(path), splits(path), kept_bytes
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self._start([])
+
+    def _start(self, pieces: list[str]) -> None:
+        self.codes, self.used = Codes(pieces), np.zeros(len(pieces), np.int64)
         self.flat, self.first = array("I"), array("q", [0])
+        self.bytes = sum(map(len, pieces)) + PIECE_BYTES * len(pieces)
 
     def trim(self) -> None:
-        again = np.flatnonzero(self.used > 1)
-        again = again if len(again) < KEPT_PIECES // 2 else again[:0]
-        flat, first, pieces = np.array(self.flat, np.uint32), np.array(self.first), list(self.codes)
-        self.codes = Codes(pieces[i] for i in again)
-        self.flat, self.first = array("I"), array("q", [0])
-        for i in again:
+        flat, first, numbers = np.array(self.flat, np.uint32), np.array(self.first), np.fromiter(self.codes.values(), np.int64, len(self.codes))
+        again = self.used[numbers] > 1
+        pieces, numbers = [p for p, x in zip(self.codes, again) if x], numbers[again]
+        if sum(map(len, pieces)) + PIECE_BYTES * len(pieces) > self.kept_bytes // 2:
+            pieces, numbers = [], numbers[:0]
+        self._start(pieces)
+        for i in numbers:
             self.flat.extend(flat[first[i] : first[i + 1]].tolist())
             self.first.append(len(self.flat))
-        self.used = np.zeros(len(again), np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.codes) > KEPT_PIECES:
+        """The ids of each text."""
+        if not self.splits:
+            return [np.array(e.ids, np.uint32) for t in texts for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
+        if self.bytes + 4 * len(self.flat) > self.kept_bytes:
             self.trim()
         split = [[t] if SPECIAL in t or not t.isascii() and WIDE.search(t) else PIECE.findall(t) for t in texts]
         sizes, codes = [len(s) for s in split], self.codes
@@ -94,9 +123,16 @@ class Pieces:
             for e in self.tokenizer.encode_batch_fast(codes.new[a : a + 20_000], add_special_tokens=False):
                 self.flat.extend(e.ids)
                 self.first.append(len(self.flat))
+        for piece in codes.new:
+            self.bytes += PIECE_BYTES
+            if len(piece) > LONG_PIECE:
+                del codes[piece]
+            else:
+                self.bytes += len(piece)
         codes.new.clear()
         flat, first = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.first, np.int64)
-        self.used = np.concatenate([self.used, np.zeros(len(codes) - len(self.used), np.int64)]) + np.bincount(c, minlength=len(codes))
+        self.used = np.concatenate([self.used, np.zeros(codes.count - len(self.used), np.int64)])
+        np.add.at(self.used, c, 1) if len(c) < codes.count // 8 else np.add(self.used, np.bincount(c, minlength=codes.count), out=self.used)
         n = first[c + 1] - first[c]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(n) else 0

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siftline.llm.token_files import TokenFile, encode_levels, file_chunks, token_table, write_tokens
+from siftline.llm.token_files import Pieces, TokenFile, encode_levels, file_chunks, splits, token_table, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -70,3 +70,33 @@ def test_levels():
 
 def test_empty(spark):
     assert token_table(spark.createDataFrame([], "doc_id long, text string"), tokenizer=PATH).collect() == []
+
+
+def test_cache_is_bounded_by_bytes_and_long_pieces_are_not_kept():
+    rng, t = random.Random(8), library()
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    texts = [rng.choice([" ", "　", "\n"]).join(han(rng.choice([3, 200])) for _ in range(20)) for _ in range(400)]
+    pieces = Pieces(PATH, kept_bytes=200_000)
+    assert pieces.splits
+    for a in range(0, len(texts), 20):
+        for text, ids in zip(texts[a : a + 20], pieces.encode(texts[a : a + 20])):
+            assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+        assert all(len(p) <= 32 for p in pieces.codes)
+        pieces.trim()
+        assert pieces.bytes + 4 * len(pieces.flat) <= 200_000
+    again = [texts[0], "a b a", "a b", texts[0]]
+    for _ in range(3):
+        assert [x.tolist() for x in pieces.encode(again)] == [t.encode(x, add_special_tokens=False).ids for x in again]
+        pieces.trim()
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    assert not splits(path)
+    rows = [(i, x) for i, x in enumerate(TEXTS)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in token_table(frame, tokenizer=path, end=None).collect()}
+    assert got == {i: zlib.crc32(np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes()) for i, x in rows}
