@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -33,13 +34,23 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() <= limit // row_bytes else df
 
 
+#: Rows and bytes of an Arrow batch, where the session sets none: texts are long, and workers hold a batch whole.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all machines of the cluster see: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a folder of this machine is made and set.
+    Only where the setting is absent in a session on this machine alone (tests) a folder is made and set; a cluster
+    without the setting is an error, as its machines share no other folder.  Also bounds the session's Arrow batches.
     """
+    for key, value in BATCHES.items():
+        if not spark.conf.get(key, None):
+            spark.conf.set(key, value)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

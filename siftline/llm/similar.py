@@ -33,7 +33,9 @@ from siftline.llm.simhash import components, first_of_each, links
 
 #: Common shingles that are kept at most (12 bytes each), bits of a shingle that are counted, shingles that a task
 #: gathers before it sorts them.
-COMMON, COUNTED, GATHER = 2_000_000, 40, 2_000_000
+COMMON, COUNTED, GATHER = 1_000_000, 40, 2_000_000
+#: Bytes of text whose shingles are held at once.
+AT_ONCE = 2 << 20
 #: The similarity of a link, as a fraction.
 PART, WHOLE = 4, 5
 #: Classes of a group that every other is checked against, by round.
@@ -97,7 +99,7 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
-            for a, n in slices(texts):
+            for a, n in slices(texts, AT_ONCE):
                 g, at = shingles(texts.slice(a, n), width)
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(g, at).view(np.int64)), lists(g, at)], ["k", "g"])
 
@@ -123,7 +125,7 @@ def common_shingles(rows: DataFrame, width: int, most: int = COMMON) -> tuple[np
 
         for batch in batches:
             texts = batch.column("text")
-            for a, n in slices(texts):
+            for a, n in slices(texts, AT_ONCE):
                 g = shingles(texts.slice(a, n), width)[0] >> cut
                 held.append(g)
                 if (size := size + len(g)) > GATHER:
@@ -171,7 +173,7 @@ def prefixes(rows: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray])
         known, count = held.value
         for batch in batches:
             texts = batch.column("text")
-            for a, m in slices(texts):
+            for a, m in slices(texts, AT_ONCE):
                 g, at = shingles(texts.slice(a, m), width)
                 n = np.diff(at)
                 seen = np.zeros(len(g), np.uint32)
