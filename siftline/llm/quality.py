@@ -40,7 +40,7 @@ DAMP, LONG = 0.7, 4000.0
 #: Parts of a count that are told apart: counts are whole numbers of them, so sums in any order agree.
 UNITS = 1 << 16
 #: Bytes of text whose n-grams are held at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

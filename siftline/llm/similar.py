@@ -33,9 +33,9 @@ from siftline.llm.simhash import components, first_of_each, links
 
 #: Common shingles that are kept at most (12 bytes each), bits of a shingle that are counted, shingles that a task
 #: gathers before it sorts them.
-COMMON, COUNTED, GATHER = 1_000_000, 40, 2_000_000
+COMMON, COUNTED, GATHER = 1_000_000, 40, 500_000
 #: Bytes of text whose shingles are held at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 #: The similarity of a link, as a fraction.
 PART, WHOLE = 4, 5
 #: Classes of a group that every other is checked against, by round.
