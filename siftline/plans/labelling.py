@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.signals import confidence
-from siftline.sources.files import todo
+from siftline.sources.files import stored, todo
 
 #: Statuses worth another try, and the wait in seconds before the first one, doubled each time.
 RETRY_STATUS, FIRST_WAIT = (408, 409, 425, 429, 500, 502, 503, 504), 0.8
@@ -59,11 +59,18 @@ def labelled(rows: DataFrame, call: Callable, *, tries: int = 3) -> DataFrame:
     return rows.select("id", "prompt").mapInPandas(run, ANSWER)
 
 
-def resume(rows: DataFrame, call: Callable, cache: str, *, tries: int = 3) -> DataFrame:
-    """The answers to all rows, asked only where the cache has none, with ``confidence``."""
+def resume(rows: DataFrame, call: Callable, cache: str, *, tries: int = 3, every: int = 100_000) -> DataFrame:
+    """The answers to all rows, asked only where the cache has none, with ``confidence``.
+
+    About ``every`` answers are committed at a time, so a run that is cut off loses at most those in flight.
+    """
     spark = rows.sparkSession
     have = spark.read.schema(ANSWER).parquet(cache) if _exists(spark, cache) else spark.createDataFrame([], ANSWER)
-    labelled(todo(rows, have.where("label is not null")), call, tries=tries).write.mode("append").parquet(cache)
+    open_rows = stored(todo(rows, have.where("label is not null")))
+    chunks = max(1, -(-open_rows.count() // every))
+    for i in range(chunks):
+        part = open_rows.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == i)
+        labelled(part, call, tries=tries).write.mode("append").parquet(cache)
     answers = spark.read.schema(ANSWER).parquet(cache)
     # an id that failed and was asked again has several rows: a label wins over none
     best = answers.groupBy("id").agg(F.max_by(F.struct("label", "logprobs", "latency_ms", "note"), F.struct(F.col("label").isNotNull(), "latency_ms")).alias("a"))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written below the session's checkpoint folder and read back; a folder is set only where none is."""
+    """``df`` written below the session's checkpoint folder and read back.
+
+    Where none is set a session on this machine alone gets one; a cluster needs one that its machines share.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="siftline-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/stored/{uuid.uuid4().hex}"
@@ -23,13 +28,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What may stand round an object on its line.
+BLANKS = " \t\n\r\x0b\x0c"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, *, allow_empty: bool = True) -> DataFrame:
     """One object per line; blank lines are skipped, anything else that is no object fails the query.
 
     Adds ``line_no``, the order of lines, unique and rising within and over files.  With ``allow_empty=False`` a
     file without rows is an error.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.trim("value").alias("value")).where("value != ''")
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.btrim("value", F.lit(BLANKS)).alias("value")).where("value != ''")
     bad = F.raise_error(F.concat(F.lit("not a JSON object: "), F.left("value", F.lit(80))))
     checked = lines.withColumn("value", F.when(F.col("value").rlike(r"(?s)^\{.*\}$"), F.col("value")).otherwise(bad))
     kind = schema.simpleString() if isinstance(schema, T.StructType) else schema
@@ -42,7 +51,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, *, al
 def read_json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A whole file that is one object."""
     text = spark.read.text(path, wholetext=True)
-    top = F.when(F.trim("value").startswith("{"), F.col("value")).otherwise(F.raise_error(F.lit("the top level is no object")))
+    top = F.when(F.btrim("value", F.lit(BLANKS)).startswith("{"), F.col("value")).otherwise(F.raise_error(F.lit("the top level is no object")))
     return text.select(F.from_json(top, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
@@ -135,5 +144,8 @@ def public_fields(df: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
 
 
 def numbered(df: DataFrame, prefix: str, *order: Column | str, width: int = 4) -> DataFrame:
-    """Ids ``prefix_0001`` and on in the given order."""
-    return df.withColumn("id", F.format_string(f"{prefix}_%0{width}d", F.row_number().over(W.orderBy(*order))))
+    """Ids ``prefix_0001`` and on in the given order; ranks come from sorted range partitions, not from one task."""
+    from siftline.operators.ranking import global_rank  # stands on this module
+
+    ranked = global_rank(df, *(F.col(x) if isinstance(x, str) else x for x in order), name="_number")
+    return ranked.withColumn("id", F.format_string(f"{prefix}_%0{width}d", F.col("_number"))).drop("_number")

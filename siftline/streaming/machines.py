@@ -48,57 +48,68 @@ class RateLimiter:
 class PlaceChange:
     """ST2: says when a traveller has arrived in another place.
 
-    A new place is confirmed by its second observation, ``confirm_ms`` or more after its first.  Events older than
-    the newest one are ignored.  An arrival is told unless the place was visited before, is not the destination
-    (if there is one), or comes within ``cooldown_ms`` of the last arrival told; the place changes anyway.
+    Each event is judged as the first line of ``VERDICTS`` that holds for it, and what a verdict does to the state is
+    a row of ``EFFECTS``.  A place that is not the present one is under trial from its first event in a row on; the
+    trial ends with an event ``confirm_ms`` or more after the first one, and the traveller has moved.  The move is told
+    (``entered``) unless the place is an old one, not the destination (a blank one is none) or comes within
+    ``cooldown_ms`` of the last move told.
     """
 
     STATE = "place string, candidate string, since bigint, seen int, visited array<string>, told bigint, newest bigint"
     OUT = "status string, entered boolean, place string"
 
+    #: A verdict and the facts that must hold for it.
+    VERDICTS = (
+        ("late", {"behind"}),
+        ("first", {"nowhere"}),
+        ("same", {"here"}),
+        ("candidate", {"untried"}),
+        ("candidate", {"early"}),
+        ("revisited", {"old"}),
+        ("passing", {"elsewhere"}),
+        ("cooling", {"soon"}),
+        ("entered", set()),
+    )
+    #: What verdicts do: keep the clock, drop the trial, put the place on trial, move there, note the time of telling.
+    EFFECTS = {"late": (), "same": ("clock", "drop"), "candidate": ("clock", "try"), "entered": ("clock", "drop", "move", "tell")}
+    MOVED = ("clock", "drop", "move")
+
     def __init__(self, confirm_ms: int = 60_000, cooldown_ms: int = 600_000, destination: str | None = None, state: tuple | None = None):
-        self.confirm_ms, self.cooldown_ms, self.destination = confirm_ms, cooldown_ms, destination or None
-        self.place, self.candidate, self.since, self.seen, visited, self.told, self.newest = state or (None, None, None, 0, [], None, None)
-        self.visited = set(visited)
+        self.confirm, self.cooldown, self.goal = confirm_ms, cooldown_ms, (destination or "").strip()
+        self.held = dict(zip((x.split()[0] for x in self.STATE.split(", ")), state or (None, None, None, 0, [], None, None)))
+
+    def facts(self, place: str, ms: int) -> set[str]:
+        h, trial = self.held, self.held["candidate"] == place and self.held["seen"] > 0
+        shown = {
+            "behind": h["newest"] is not None and ms < h["newest"],
+            "nowhere": h["place"] is None,
+            "here": place == h["place"],
+            "untried": not trial,
+            "early": trial and ms - h["since"] < self.confirm,
+            "old": place in h["visited"],
+            "elsewhere": self.goal and place != self.goal,
+            "soon": h["told"] is not None and ms - h["told"] < self.cooldown,
+        }
+        return {name for name, holds in shown.items() if holds}
 
     def step(self, place: str, ms: int) -> tuple:
-        status = self._next(place, int(ms))
-        return status, status == "entered", self.place
-
-    def _next(self, place: str, ms: int) -> str:
-        if self.newest is not None and ms < self.newest:
-            return "late"
-        self.newest = ms
-        if self.place is None:
-            self._move(place)
-            return "first"
-        if place == self.place:
-            self.candidate, self.seen = None, 0
-            return "same"
-        if place != self.candidate:
-            self.candidate, self.since, self.seen = place, ms, 1
-            return "candidate"
-        self.seen += 1
-        if ms - self.since < self.confirm_ms:
-            return "candidate"
-        known = place in self.visited
-        self._move(place)
-        if known:
-            return "revisited"
-        if self.destination and place != self.destination:
-            return "passing"
-        if self.told is not None and ms - self.told < self.cooldown_ms:
-            return "cooling"
-        self.told = ms
-        return "entered"
-
-    def _move(self, place: str) -> None:
-        self.place, self.candidate, self.seen = place, None, 0
-        self.visited.add(place)
+        ms, h = int(ms), self.held
+        facts = self.facts(place, ms)
+        verdict = next(name for name, needed in self.VERDICTS if needed <= facts)
+        changes = {
+            "clock": {"newest": ms},
+            "drop": {"candidate": None, "seen": 0},
+            "try": {"candidate": place, "since": ms, "seen": 1} if "untried" in facts else {"seen": h["seen"] + 1},
+            "move": {"place": place, "visited": sorted({*h["visited"], place})},
+            "tell": {"told": ms},
+        }
+        for effect in self.EFFECTS.get(verdict, self.MOVED):
+            h |= changes[effect]
+        return verdict, verdict == "entered", h["place"]
 
     @property
     def state(self) -> tuple:
-        return self.place, self.candidate, self.since, self.seen, sorted(self.visited), self.told, self.newest
+        return tuple(self.held.values())
 
 
 class Throttle:
@@ -147,44 +158,53 @@ def replay(df: DataFrame, key: str, make, columns: list[str], order: list[str])
     return df.groupBy(key).applyInPandas(group, out)
 
 
-def stream(df: DataFrame, key: str, make, columns: list[str], order: list[str]) -> DataFrame:
-    """The streaming form: appends every event with the machine's output; the state lives in the state store."""
+def stream(df: DataFrame, key: str, make, columns: list[str], order: list[str], idle_ms: int | None = None) -> DataFrame:
+    """The streaming form: appends every event with the machine's output; the state lives in the state store.
+
+    With ``idle_ms`` a key that has had no event for so long (by the clock) is forgotten; else its state stays.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     out, names = _schema(df, make()), [x.split()[0] for x in make().OUT.split(", ")]
 
     def group(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         machine = make(state=state.get if state.exists else None)
         frame = pd.concat(list(frames))
         result = _run(machine, frame, columns, order)[[*frame.columns, *names]]
         state.update(machine.state)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield result
 
-    return df.groupBy(key).applyInPandasWithState(group, out, make().STATE, "append", GroupStateTimeout.NoTimeout)
+    waits = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return df.groupBy(key).applyInPandasWithState(group, out, make().STATE, "append", waits)
 
 
-def rate_limited(df: DataFrame, *, key: str = "key", ts: str = "ts_seconds", seq: str | None = None, per_minute: int, per_day: int, streaming: bool = False) -> DataFrame:
+def rate_limited(df: DataFrame, *, key: str = "key", ts: str = "ts_seconds", seq: str | None = None, per_minute: int, per_day: int, streaming: bool = False, idle_ms: int | None = None) -> DataFrame:
     """ST1 over ``df``."""
 
     def make(state=None):
         return RateLimiter(per_minute, per_day, state)
 
-    return (stream if streaming else replay)(df, key, make, [ts], [ts] + ([seq] if seq else []))
+    return stream(df, key, make, [ts], [ts] + ([seq] if seq else []), idle_ms) if streaming else replay(df, key, make, [ts], [ts] + ([seq] if seq else []))
 
 
-def place_changes(df: DataFrame, *, key: str = "session", place: str = "city_code", ts: str = "ts_ms", order: list[str] | None = None, confirm_ms: int = 60_000, cooldown_ms: int = 600_000, destination: str | None = None, streaming: bool = False) -> DataFrame:
+def place_changes(df: DataFrame, *, key: str = "session", place: str = "city_code", ts: str = "ts_ms", order: list[str] | None = None, confirm_ms: int = 60_000, cooldown_ms: int = 600_000, destination: str | None = None, streaming: bool = False, idle_ms: int | None = None) -> DataFrame:
     """ST2 over ``df``; ``order`` is the order of arrival (by time if not given, so that nothing is late)."""
 
     def make(state=None):
         return PlaceChange(confirm_ms, cooldown_ms, destination, state)
 
-    return (stream if streaming else replay)(df, key, make, [place, ts], order or [ts])
+    return stream(df, key, make, [place, ts], order or [ts], idle_ms) if streaming else replay(df, key, make, [place, ts], order or [ts])
 
 
-def throttled(df: DataFrame, *, key: str = "key", ts: str = "ts_seconds", seq: str | None = None, gap: float = 120, streaming: bool = False) -> DataFrame:
+def throttled(df: DataFrame, *, key: str = "key", ts: str = "ts_seconds", seq: str | None = None, gap: float = 120, streaming: bool = False, idle_ms: int | None = None) -> DataFrame:
     """ST3 over ``df``."""
 
     def make(state=None):
         return Throttle(gap, state)
 
-    return (stream if streaming else replay)(df, key, make, [ts], [ts] + ([seq] if seq else []))
+    return stream(df, key, make, [ts], [ts] + ([seq] if seq else []), idle_ms) if streaming else replay(df, key, make, [ts], [ts] + ([seq] if seq else []))

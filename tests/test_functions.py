@@ -171,3 +171,7 @@ def test_lsh_curve(spark):
     rng = random.Random(1)
     s = rng.random()
     assert values(spark, "x double", [(s,)], text.lsh_hit_probability(F.col("x"), 4, 32))[0][0] == pytest.approx(1 - (1 - s**4) ** 32)
+
+
+def test_extra_keys_with_braces_are_written_as_they_are():
+    assert decisions.violations(GOOD | {"{x}": 1}) == ["unknown_field:{x}"]
