@@ -111,7 +111,9 @@ def retrieval_tokens(text: Column) -> Column:
         twos = F.when(size > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - 1)), lambda i: F.substring(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.when(run.rlike("^[a-z0-9]"), F.array(run)).otherwise(F.concat(ones, twos))
 
-    return F.coalesce(F.flatten(F.transform(runs, parts)), F.array().cast("array<string>"))
+    han = text.rlike(r"[\x{4e00}-\x{9fff}]")  # without any, words are all there is
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.coalesce(F.when(han, F.flatten(F.transform(runs, parts))).otherwise(plain), F.array().cast("array<string>"))
 
 
 #: Phrases and particles that carry no topic in a question.

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions.text import retrieval_tokens, searchable, without_place
+from siftline.sources.files import stored
 
 K1, B = 1.2, 0.75
 #: Words of a question that ask for food, for sights, and for what changes by the hour.
@@ -27,10 +28,12 @@ def asked_kind(query: Column) -> Column:
     return F.when(food & ~sight, "food").when(sight & ~food, "sight").otherwise("")
 
 
-def postings(docs: DataFrame, *, group: str, doc: str, text: Column) -> DataFrame:
-    """group, doc, term, tf, length for every term of every document."""
+def postings(docs: DataFrame, *, group: str, doc: str, text: Column, terms: DataFrame | None = None) -> DataFrame:
+    """grp, doc, length, term, tf for every term of every document, or only for those of ``terms`` (grp, term)."""
     tokens = docs.select(F.col(group).alias("grp"), F.col(doc).alias("doc"), retrieval_tokens(F.coalesce(text, F.lit(""))).alias("t"))
     rows = tokens.select("grp", "doc", F.size("t").alias("length"), F.explode("t").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms, ["grp", "term"], "left_semi")
     return rows.groupBy("grp", "doc", "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -49,15 +52,17 @@ def bm25(tf: Column, df: Column, n: Column, length: Column, avg: Column) -> Colu
 def scores(docs: DataFrame, queries: DataFrame, *, group: str, doc: str, text: Column) -> DataFrame:
     """q, doc, score, long_match: sums over the queries' distinct terms (q, grp, terms), in the group's own statistics.
 
+    Terms that no query has are left out before documents are grouped; the postings that remain are written once.
     ``long_match`` tells whether a shared term has two characters or more.
     """
-    posts = postings(docs, group=group, doc=doc, text=text)
+    terms = queries.select("q", "grp", F.explode(F.array_distinct("terms")).alias("term"))
+    posts = stored(postings(docs, group=group, doc=doc, text=text, terms=terms.select("grp", "term").distinct()))
     df = posts.groupBy("grp", "term").agg(F.count("*").alias("df"))
     stats = statistics(docs, group=group, text=text)
-    terms = queries.select("q", "grp", F.explode(F.array_distinct("terms")).alias("term"))
-    met = posts.join(terms, ["grp", "term"]).join(df, ["grp", "term"]).join(stats, "grp")
     part = bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("avg_length"))
-    return met.groupBy("q", "doc").agg(F.sum(part).alias("score"), F.max(F.char_length("term") >= 2).alias("long_match"))
+    weighed = posts.join(df, ["grp", "term"]).join(stats, "grp").select("grp", "term", "doc", part.alias("part"), (F.char_length("term") >= 2).alias("long"))
+    met = weighed.join(terms, ["grp", "term"])
+    return met.groupBy("q", "doc").agg(F.sum("part").alias("score"), F.max("long").alias("long_match"))
 
 
 def search(kb: DataFrame, questions: DataFrame, *, limit: int = LIMIT) -> DataFrame:
