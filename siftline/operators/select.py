@@ -85,6 +85,16 @@ def coverage_report(every: DataFrame, picked: DataFrame, *, cell: str = "cell")
     return out.select("universe", "covered", F.when(F.col("universe") > 0, F.col("covered") / F.col("universe")).otherwise(0.0).alias("ratio"), "empty")
 
 
+def gain_range(picked: DataFrame) -> DataFrame:
+    """One row: the marginal gains of the first and of the last pick of :func:`greedy_cover`."""
+    return picked.agg(F.min_by("gain", "pick").alias("first"), F.max_by("gain", "pick").alias("last"))
+
+
+def by_id_or_first(df: DataFrame, key: str, asked, *order: Column) -> DataFrame:
+    """The row whose key is ``asked``, or the first one in the order if there is none."""
+    return df.orderBy(F.when(F.col(key) == F.lit(asked), 0).otherwise(1), *order).limit(1)
+
+
 def random_baseline(df: DataFrame, budget: int, *, trials: int = 200, seed: int = 20260921, cell: str = "cell", quality: str = "quality", idx: str = "idx") -> DataFrame:
     """One row: the mean objective over random draws of ``budget`` rows, each draw the rows of smallest hash."""
     q = F.greatest(F.lit(0.0), F.coalesce(F.col(quality).cast("double"), F.lit(0.0)))

@@ -12,6 +12,7 @@ from siftline.functions import decisions, records, signals, text
 from siftline.operators import checks, dedup, evaluate, expand, overlap, ranking, retrieval, select, traces
 from siftline.plans.fixtures import kb_rows, prediction_rows, question_rows, seed_specs, seed_words
 from siftline.session import table
+from siftline.sources import files
 from siftline.streaming import machines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,13 +169,13 @@ def coverage_objective(spark, sf_dir):
 
 
 @query(f"""
-WITH {POOL_SQL}, drawn AS (SELECT trial, cell, quality FROM pool, range(1, 21) t(trial)
+WITH {POOL_SQL}, drawn AS (SELECT trial, cell, quality FROM pool, range(1, 201) t(trial)
   QUALIFY row_number() OVER (PARTITION BY trial ORDER BY md5('20260921|' || trial || '|' || idx), idx) <= 200),
 per AS (SELECT trial, cell, sum(quality) AS s FROM drawn GROUP BY ALL), f AS (SELECT trial, sum(sqrt(s)) AS f FROM per GROUP BY trial)
 SELECT round(avg(f), 6) AS objective FROM f
 """)
 def coverage_random_baseline(spark, sf_dir):
-    return select.random_baseline(pool(spark, sf_dir), 200, trials=20).withColumn("objective", F.round("objective", 6))
+    return select.random_baseline(pool(spark, sf_dir), 200).withColumn("objective", F.round("objective", 6))
 
 
 @query(f"""
@@ -267,7 +268,7 @@ def label_signals(spark, sf_dir):
 @query("SELECT user_id, event_type, count(*) AS n, round(quantile_cont(value, 0.1), 6) AS p10, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def percentile_events(spark, sf_dir):
     values = table(spark, sf_dir, "events").groupBy("user_id", "event_type")
-    return values.agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.1), 6).alias("p10"), F.round(F.avg("value"), 6).alias("mean"))
+    return values.agg(F.count("*").alias("n"), F.round(signals.interpolated(F.collect_list("value"), 0.1), 6).alias("p10"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 BM25_SQL = r"""
@@ -469,7 +470,7 @@ def throttle_replay(spark, sf_dir):
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def unlabelled(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    return files.todo(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
