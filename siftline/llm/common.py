@@ -26,12 +26,16 @@ def lower_ascii(text: Column) -> Column:
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows, at ``row_bytes`` each, stay below ``limit``.
+    """``df`` with a broadcast hint if its counted rows, at ``row_bytes`` and the measured bytes of their texts, stay below ``limit``.
 
     Beyond the limit the hint is left out and Spark shuffles both sides, so that no broadcast grows with
     the data.  ``df`` should be cheap to count: a written table, say.
     """
-    return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() <= limit // row_bytes else df
+    texts = [F.octet_length(F.col(f"`{name}`")) for name, kind in df.dtypes if kind in ("string", "binary")]
+    long = sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(0)).cast("long")
+    most = limit // row_bytes
+    rows, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(long), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and rows * row_bytes + size <= limit else df
 
 
 #: Rows and bytes of an Arrow batch, where the session sets none: texts are long, and workers hold a batch whole.

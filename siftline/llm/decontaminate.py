@@ -25,8 +25,9 @@ from siftline.llm.common import lower_ascii, small, stash, unstash
 
 #: Words: digits, lower-case letters and every character from U+0080 on.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Stands after the last word of each document; its position is the document's length.  No word is like it.
-END = "\x00"
+#: Stands after the last word of each document, with a number below ``ENDS`` so that no one key has all documents;
+#: its position is the document's length.  No word is like it.
+END, ENDS = "\x00", 1024
 END_TERM = -1
 #: So many rarest terms of a window are intersected before the rest is looked up.
 RAREST = 3
@@ -56,8 +57,9 @@ def build_index(docs: DataFrame, tests: DataFrame, *, doc_id: str = "doc_id", te
     rows = stash(tests.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("ws")), "items")
     flat = rows.select("item", "item_id", F.size("ws").alias("n"), F.posexplode("ws").alias("j", "word"))
     vocab = stash(flat.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "vocab")
-    ends = docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(END_TERM).cast("long").alias("term"))
-    seen = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(F.concat(words(F.col(text)), F.array(F.lit(END)))).alias("pos", "word"))
+    ends = docs.sparkSession.range(ENDS).select(F.concat(F.lit(END), F.col("id").cast("string")).alias("word"), F.lit(END_TERM).cast("long").alias("term"))
+    end = F.concat(F.lit(END), F.pmod(F.xxhash64(doc_id, text), F.lit(ENDS)).cast("string"))
+    seen = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(F.concat(words(F.col(text)), F.array(end))).alias("pos", "word"))
     postings = stash(
         seen.join(small(vocab.unionAll(ends), 64), "word").select("term", "d", "h", "pos").sortWithinPartitions("term"),
         "postings",

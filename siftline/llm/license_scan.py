@@ -114,6 +114,33 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+#: Canonical digests of public license texts, whole as their stewards publish them.
+WHOLE = (
+    ("Apache-2.0", "dbb777d3ad1fb948fbe99e6748cbd3fea3f269381f3f7efe3f4259a28a9269c9"),
+    ("Artistic-1.0", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "dca4c975ceb5ed80ec4b97c7ae03c9f0723ade327cf297a7e745f117af15b9d3"),
+    ("MPL-2.0", "2ae5d4417f09cff2e3412d0e35c4ee2439f6c18ca69d7d9cc799b33614c368a5"),
+)
+#: The same without what follows "END OF TERMS AND CONDITIONS".
+TERMS = (
+    ("Apache-2.0", "37aa90548985ac0057637d42c3153e8b5d107a21d9556d7fbe60e3e426fdacaa"),
+    ("GPL-1.0", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),
+    ("GPL-2.0", "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+)
+
 #: Words after "copyright" or "(c)" that belong to a sentence of a license and name no holder.
 BODY = r"notices?|holders?|holder's|owners?|laws?|licen[cs]es?|statements?|interests?|protection|rights?|status|disclaimers?|and|or|nor|in|on|of|to|is|are|as|for|if|that|which|with|under|such|this|your|you|any|all|a|an|shall|may|must|does|do|not"
 #: What ends a claim on the same line: the license that goes with it.
@@ -152,10 +179,11 @@ def digest(form: Column) -> Column:
     return F.sha2(F.btrim(F.regexp_replace(form, "[ \n]+", " ")).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, license for each known text; one row per digest."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.groupBy(digest(canonical(F.col("text"))).alias("digest")).agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known=KNOWN, digests=()) -> DataFrame:
+    """digest, license for each known text (license, text) and given digest (license, digest); one row per digest."""
+    rows = spark.createDataFrame(list(known), "license string, text string").select("license", digest(canonical(F.col("text"))).alias("digest"))
+    rows = rows.unionByName(spark.createDataFrame(list(digests), "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,7 +194,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, *, doc_id: str = "doc_
     licenses, sorted, comma-joined, without repeats ('' if none).  Texts that are empty in canonical form match
     nothing.  Known texts (digest, license) are a list that the caller bounds.  Repeated rows each get a row.
     """
-    known = known if known is not None else known_digests(docs.sparkSession)
+    known = known if known is not None else known_digests(docs.sparkSession, digests=WHOLE + TERMS)
     form = canonical(F.coalesce(F.col(text), F.lit("")))
     forms = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).isNull().alias("void"), form.alias("form"))
     parts = F.concat(F.array(digest(F.col("form"))), F.transform(F.split("form", "\n", -1), digest))
@@ -196,10 +224,13 @@ def oracle() -> str:
         return out
 
     sha = lambda x: f"sha256(trim(regexp_replace({x}, '[ \n]+', ' ', 'g')))"
+    given = ", ".join(f"('{name}', '{x}')" for name, x in WHOLE + TERMS)
     values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
     return f"""
 WITH known AS (
-  SELECT {sha(form("t"))} AS digest, min(name) AS license FROM (VALUES {values}) v(name, t) GROUP BY 1
+  SELECT digest, min(name) AS license FROM (
+    SELECT name, {sha(form("t"))} AS digest FROM (VALUES {values}) v(name, t) UNION ALL SELECT name, digest FROM (VALUES {given}) g(name, digest)
+  ) GROUP BY 1
 ), forms AS (
   SELECT doc_id, text IS NULL AS void, {form("coalesce(text, '')")} AS form FROM documents
 ), lines AS (

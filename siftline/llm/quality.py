@@ -31,7 +31,7 @@ from siftline.llm.hashing import flat, mixed, slices, tokens
 #: At most so many labelled rows take part in the fit, those of the smallest hashed ids.
 LABELLED = 500_000
 #: Buckets of words and of pairs, and parts in which counts move.
-WORDS, PAIRS, PARTS = 1 << 18, 1 << 18, 4
+WORDS, PAIRS, PARTS = 1 << 18, 1 << 18, 32
 SIZE = WORDS + PAIRS
 #: Pseudo-count of a bucket; standard deviations below which a ratio counts as 1; n-grams for which a weight stands.
 PRIOR, CHANCE, LENGTH = 1.0, 3.0, 1000

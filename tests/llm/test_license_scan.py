@@ -1,3 +1,8 @@
+import os
+import re
+
+import pytest
+
 from siftline.llm.license_scan import BSD_3, ISC, MIT, known_digests, scan
 
 
@@ -44,3 +49,23 @@ def test_only_claims_of_copyright_are_stripped(spark):
     assert {d: lic for d, lic, *_ in run(spark, rows)} == {**dict.fromkeys(range(7), "ISC"), 10: "MIT", 11: "MIT", 12: "BSD-3-Clause", 13: "BSD-2-Clause"}
     one = "Copyright 2024 X. Licensed under the Apache License, Version 2.0."
     assert run(spark, [(1, one), (2, "text\n" + one)]) == [(1, "Apache-2.0", 1, "Apache-2.0"), (2, None, 1, "Apache-2.0")]
+
+
+TEXTS = "/usr/share/common-licenses"
+NAMES = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir(TEXTS), reason="no folder of public license texts")
+def test_whole_texts_of_public_licenses(spark):
+    rows, want = [], {}
+    for i, (file, name) in enumerate(NAMES.items()):
+        text = open(f"{TEXTS}/{file}", encoding="utf-8").read()
+        end = "END OF TERMS AND CONDITIONS"
+        forms = [text, text.upper(), re.sub(r"(?m)^(\s*)Copyright \(C\) [0-9, ]+", r"\1Copyright (C) 2031 ", text), re.sub(r"\blicense\b", "licence", text.replace(",", " ;")), "\n\n  " + text.replace("\n", "\n   ")]
+        forms += [text[: text.index(end) + len(end)]] if end in text else []
+        for form in forms:
+            want[len(rows)] = name
+            rows.append((len(rows), form))
+        rows.append((len(rows), text[: len(text) // 2]))
+    got = {d: lic for d, lic, *_ in run(spark, rows)}
+    assert got == {d: want.get(d) for d, _ in rows}
