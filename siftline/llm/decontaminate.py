@@ -54,12 +54,13 @@ def build_index(docs: DataFrame, tests: DataFrame, *, doc_id: str = "doc_id", te
     Null or empty texts give a document of length 0 and an item that matches nothing.  Repeated rows are kept.
     Columns other than those named are ignored, whatever they are called.
     """
-    rows = stash(tests.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("ws")), "items")
-    flat = rows.select("item", "item_id", F.size("ws").alias("n"), F.posexplode("ws").alias("j", "word"))
+    asked = stash(tests.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("ws")), "items")
+    flat = asked.select("item", "item_id", F.size("ws").alias("n"), F.posexplode("ws").alias("j", "word"))
     vocab = stash(flat.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "vocab")
     ends = docs.sparkSession.range(ENDS).select(F.concat(F.lit(END), F.col("id").cast("string")).alias("word"), F.lit(END_TERM).cast("long").alias("term"))
-    end = F.concat(F.lit(END), F.pmod(F.xxhash64(doc_id, text), F.lit(ENDS)).cast("string"))
-    seen = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(F.concat(words(F.col(text)), F.array(end))).alias("pos", "word"))
+    end = F.concat(F.lit(END), F.pmod(F.col("h").bitwiseXOR(F.xxhash64("d")), F.lit(ENDS)).cast("string"))
+    rows = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    seen = rows.select("d", "h", F.posexplode(F.concat(words(F.col("t")), F.array(end))).alias("pos", "word"))
     postings = stash(
         seen.join(small(vocab.unionAll(ends), 64), "word").select("term", "d", "h", "pos").sortWithinPartitions("term"),
         "postings",
@@ -67,7 +68,7 @@ def build_index(docs: DataFrame, tests: DataFrame, *, doc_id: str = "doc_id", te
     lengths = postings.groupBy("term").agg(F.count("*").alias("cf"))
     terms = stash(vocab.join(lengths, "term", "left").select("word", "term", F.coalesce("cf", F.lit(0)).alias("cf")), "terms")
     items = stash(flat.join(small(vocab, 64), "word").select("item", "item_id", "j", "term", "n"), "item-terms")
-    unstash(docs.sparkSession, rows, vocab)
+    unstash(docs.sparkSession, asked, vocab)
     return Index(postings, terms, items)
 
 
