@@ -81,8 +81,8 @@ def splits(path: str) -> bool:
 class Pieces:
     """Encodes texts by their pieces; each distinct piece goes through the tokenizer once while it is kept.
 
-    When pieces and ids take more than ``kept_bytes``, those used once since the last time go (all, if that is not
-    enough).  Long pieces are dropped after the call.  A tokenizer of another kind than :func:`splits` gets whole texts.
+    When pieces and ids take more than ``kept_bytes``, those used most since the last time stay, in half of it.  Long
+    pieces are dropped after the call.  A tokenizer of another kind than :func:`splits` gets whole texts.
     """
 
     def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
@@ -101,10 +101,11 @@ class Pieces:
 
     def trim(self) -> None:
         flat, first, numbers = np.array(self.flat, np.uint32), np.array(self.first), np.fromiter(self.codes.values(), np.int64, len(self.codes))
-        again = self.used[numbers] > 1
-        pieces, numbers = [p for p, x in zip(self.codes, again) if x], numbers[again]
-        if sum(map(len, pieces)) + PIECE_BYTES * len(pieces) > self.kept_bytes // 2:
-            pieces, numbers = [], numbers[:0]
+        pieces, used = list(self.codes), self.used[numbers]
+        costs = np.fromiter(map(len, pieces), np.int64, len(pieces)) + PIECE_BYTES + 4 * (first[numbers + 1] - first[numbers])
+        order = np.argsort(-used, kind="stable")
+        kept = order[(np.cumsum(costs[order]) <= self.kept_bytes // 2) & (used[order] > 1)]
+        pieces, numbers = [pieces[i] for i in kept], numbers[kept]
         self._start(pieces)
         for i in numbers:
             self.flat.extend(flat[first[i] : first[i + 1]].tolist())
@@ -234,8 +235,8 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, out: str | None = None, end
 
         last = np.array([] if end is None else [end], np.uint32)
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                rows = batch.slice(a, 200)
+            for a in range(0, batch.num_rows, 500):
+                rows = batch.slice(a, 500)
                 for d, x in zip(rows.column("d").to_pylist(), pieces.encode(rows.column("text").to_pylist())):
                     doc_ids.append(d)
                     ids.append(np.concatenate([x, last]))
