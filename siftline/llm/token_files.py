@@ -40,6 +40,8 @@ RANK, FILE_TOKENS = 512, 4_000_000
 #: Bytes of pieces and their ids that a worker keeps; bytes that a piece takes beside its characters and ids; pieces
 #: of more characters than this are not kept.
 KEPT_BYTES, PIECE_BYTES, LONG_PIECE = 96 << 20, 120, 32
+#: Pieces that go through the tokenizer in one string, with line ends between them.
+JOINED = 256
 
 #: A blank run with the word after it, or blanks at the end: no token of a byte-level BPE with the usual
 #: splitting pattern reaches over a place where a blank follows another character.
@@ -92,24 +94,55 @@ class Pieces:
         self.tokenizer, self.splits, self.kept_bytes = Tokenizer.from_file(path), splits(path), kept_bytes
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self._start([])
 
     def _start(self, pieces: list[str]) -> None:
         self.codes, self.used = Codes(pieces), np.zeros(len(pieces), np.int64)
-        self.flat, self.first = array("I"), array("q", [0])
+        self.flat, self.first, self.size = array("I"), array("q"), array("q")
         self.bytes = sum(map(len, pieces)) + PIECE_BYTES * len(pieces)
 
     def trim(self) -> None:
-        flat, first, numbers = np.array(self.flat, np.uint32), np.array(self.first), np.fromiter(self.codes.values(), np.int64, len(self.codes))
+        flat, first, size, numbers = np.array(self.flat, np.uint32), np.array(self.first), np.array(self.size), np.fromiter(self.codes.values(), np.int64, len(self.codes))
         pieces, used = list(self.codes), self.used[numbers]
-        costs = np.fromiter(map(len, pieces), np.int64, len(pieces)) + PIECE_BYTES + 4 * (first[numbers + 1] - first[numbers])
+        costs = np.fromiter(map(len, pieces), np.int64, len(pieces)) + PIECE_BYTES + 4 * size[numbers]
         order = np.argsort(-used, kind="stable")
         kept = order[(np.cumsum(costs[order]) <= self.kept_bytes // 2) & (used[order] > 1)]
         pieces, numbers = [pieces[i] for i in kept], numbers[kept]
         self._start(pieces)
         for i in numbers:
-            self.flat.extend(flat[first[i] : first[i + 1]].tolist())
             self.first.append(len(self.flat))
+            self.size.append(size[i])
+            self.flat.frombytes(flat[first[i] : first[i] + size[i]].tobytes())
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces, in the order of their numbers.
+
+        A piece without blanks but one before its first character may stand between line ends in a longer string:
+        the splitting pattern takes each line end by itself there, so the ids between two of them are the piece's.
+        """
+        first, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        plain = [self.line is not None and p.isprintable() and p.find(" ", 1) < 0 and SPECIAL not in p for p in new]
+        alone, joined = [i for i, x in enumerate(plain) if not x], np.flatnonzero(plain)
+        groups = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
+        for a in range(0, len(groups), 100):
+            texts = ["\n".join([new[i] for i in g]) for g in groups[a : a + 100]]
+            for g, e in zip(groups[a:], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.concatenate([[-1], np.flatnonzero(ids == self.line), [len(ids)]])
+                if len(ends) != len(g) + 1:
+                    alone += g.tolist()
+                    continue
+                size[g] = np.diff(ends) - 1
+                first[g] = len(self.flat) + np.cumsum(size[g]) - size[g]
+                self.flat.frombytes(ids[ids != self.line].tobytes())
+        for a in range(0, len(alone), 20_000):
+            for i, e in zip(alone[a:], self.tokenizer.encode_batch_fast([new[i] for i in alone[a : a + 20_000]], add_special_tokens=False)):
+                first[i], size[i] = len(self.flat), len(e.ids)
+                self.flat.extend(e.ids)
+        self.first.frombytes(first.tobytes())
+        self.size.frombytes(size.tobytes())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -120,10 +153,7 @@ class Pieces:
         split = [[t] if SPECIAL in t or not t.isascii() and WIDE.search(t) else PIECE.findall(t) for t in texts]
         sizes, codes = [len(s) for s in split], self.codes
         c = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
-        for a in range(0, len(codes.new), 20_000):
-            for e in self.tokenizer.encode_batch_fast(codes.new[a : a + 20_000], add_special_tokens=False):
-                self.flat.extend(e.ids)
-                self.first.append(len(self.flat))
+        self._learn(codes.new)
         for piece in codes.new:
             self.bytes += PIECE_BYTES
             if len(piece) > LONG_PIECE:
@@ -131,10 +161,11 @@ class Pieces:
             else:
                 self.bytes += len(piece)
         codes.new.clear()
-        flat, first = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.first, np.int64)
+        held = lambda x, kind: np.frombuffer(x, kind) if len(x) else np.zeros(0, kind)
+        flat, first, size = held(self.flat, np.uint32), held(self.first, np.int64), held(self.size, np.int64)
         self.used = np.concatenate([self.used, np.zeros(codes.count - len(self.used), np.int64)])
         np.add.at(self.used, c, 1) if len(c) < codes.count // 8 else np.add(self.used, np.bincount(c, minlength=codes.count), out=self.used)
-        n = first[c + 1] - first[c]
+        n = size[c]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(n) else 0
         ids = flat[np.repeat(first[c] - (ends - n), n) + np.arange(total)]
