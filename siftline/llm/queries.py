@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import language_model, license_scan, line_dedup, topk, warc
+from siftline.llm import language_model, license_scan, line_dedup, merkle, periodic, topk, warc
 from siftline.llm.common import ship
 from siftline.llm.decontaminate import decontaminate
 from siftline.llm.mixing import mix_sizes
@@ -68,6 +68,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5)
 
 
+def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic.planted))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_digests(merkle.documents_manifest(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -82,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_source_mixing,
             op9_simhash_near_dedup,
             op10_exact_top_k,
+            op11_periodic_run_detection,
+            op13_merkle_manifest,
         )
     }
 
@@ -92,4 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": line_dedup.ORACLE,
         "op7_license_scan": license_scan.oracle(),
         "op10_exact_top_k": topk.ORACLE,
+        "op11_periodic_run_detection": periodic.oracle(),
+        "op13_merkle_manifest": merkle.oracle(),
     }
