@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import language_model, license_scan, line_dedup, merkle, periodic, topk, warc
+from siftline.llm import language_model, license_scan, line_dedup, merkle, periodic, topk, toxicity, warc
 from siftline.llm.common import ship
 from siftline.llm.decontaminate import decontaminate
 from siftline.llm.mixing import mix_sizes
@@ -72,6 +72,10 @@ def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic.planted))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proof_digests(merkle.documents_manifest(table(spark, sf_dir, "documents")))
 
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_simhash_near_dedup,
             op10_exact_top_k,
             op11_periodic_run_detection,
+            op12_toxicity,
             op13_merkle_manifest,
         )
     }
