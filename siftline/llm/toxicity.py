@@ -42,8 +42,8 @@ STEMS, AT_ONCE = range(3, 9), 1 << 20
 PLAIN_STEPS, TREE_STEPS, FIT_STEPS, RIDGE = 8, 6, 40, 1e-5
 #: Toxic styles of the label model; log odds of a training label; units in which posteriors and gradients are summed.
 STYLES, GOLD, UNITS = 8, float(np.log(99)), 1 << 20
-#: Words a batch of documents may gather before its counts leave.
-GATHER = 1_000_000
+#: Words that a task gathers before their counts leave; sums that move in one row.
+GATHER, STRETCH = 1_000_000, 4096
 
 # Common insults and abusive phrases of four languages.
 INSULTS = {
@@ -315,7 +315,7 @@ class LabelModel:
             p11 = pairs / max(share, 1e-9)
             one = np.diag(p11)
             cells = [(p11, one[:, None] * one), (one[:, None] - p11, one[:, None] * (1 - one)), (one - p11, (1 - one[:, None]) * one), (1 - one[:, None] - one + p11, (1 - one[:, None]) * (1 - one))]
-            information += share / total.sum() * sum(np.where(p > 1e-12, np.maximum(p, 1e-12) * np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12)), 0.0) for p, q in cells)
+            information += share / max(total.sum(), 1e-9) * sum(np.where(p > 1e-12, np.maximum(p, 1e-12) * np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12)), 0.0) for p, q in cells)
         np.fill_diagonal(information, 0)
         best, link, parent = np.zeros(v), np.arange(v), np.arange(v)
         outside = np.ones(v, bool)
@@ -336,21 +336,38 @@ def label_sums(x: np.ndarray, gold: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 
 def gathered(table: DataFrame, f, columns: list[str], length: int) -> np.ndarray:
-    """The sum over all batches of the whole-number vectors that ``f`` makes of them; zeros do not move."""
+    """The sum over all batches of the whole-number vectors that ``f`` makes of them.
+
+    A task sends a row for each stretch of ``STRETCH`` sums that is not all zeros; tasks that each take some of the
+    stretches add them up.
+    """
 
     def run(batches):
         total = np.zeros(length, np.int64)
         for batch in batches:
             total += f(*(batch.column(c) for c in columns))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "s"])
+        parts = [(k, total[a : a + STRETCH]) for k, a in enumerate(range(0, length, STRETCH))]
+        yield _sums([(k, x) for k, x in parts if x.any()])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("k").to_pylist(), batch.column("sums").to_pylist()):
+                x = np.frombuffer(raw, np.int64)
+                sums[k] = sums[k] + x if k in sums else x
+        yield _sums(list(sums.items()))
 
     out = np.zeros(length, np.int64)
-    for r in table.select(*columns).mapInArrow(run, "i long, s long").groupBy("i").agg(F.sum("s").alias("s")).collect():
-        out[r.i] = r.s
+    sent = table.select(*columns).mapInArrow(run, "k int, sums binary")
+    for r in sent.repartition(-(-length // STRETCH), "k").mapInArrow(add, "k int, sums binary").collect():
+        out[r.k * STRETCH : (r.k + 1) * STRETCH] += np.frombuffer(r.sums, np.int64)
     return out
 
 
+def _sums(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["k", "sums"])
+
+
 def numbers(column: pa.Array, null: int = -1) -> np.ndarray:
     return column.fill_null(null).to_numpy(zero_copy_only=False)
 
