@@ -8,9 +8,9 @@ The label model has a hidden style for every document, ``STYLES`` toxic ones and
 differently, and so do languages), and for each voter and style how often it fires; these are its accuracies.  Voters
 are not independent: a stem's voters fire together, and so does a word with its own stem.  So each voter also depends on
 one other: the tree of strongest dependence within the styles (mutual information, given the style), fitted to pair
-counts over all documents.  Everything is estimated by expectation-maximisation over all documents, from styles that
-start at voters which fire apart from one another; a training label takes part as one more voter that is right in 99 of
-100 cases.  Documents with the same votes are one row with a count, and a step moves sums only.
+counts over all documents under the first styles, which start at voters that fire apart from one another (without the
+tree, steps would take a block of copies for the class).  Everything else is estimated by expectation-maximisation over
+all documents; a training label takes part as one more voter that is right in 99 of 100 cases.  Documents with the same votes are one row with a count, and a step moves sums only.
 
 The classifier is a logistic regression on words and stems (held once, held twice) and the fixed voters.  It is fitted
 to the posteriors of all documents that are not held out, by accelerated gradient steps, each a pass over a compact table of
@@ -38,8 +38,8 @@ CANDIDATES, INDUCED, FEATURES = 65_536, 96, 4096
 SEEN, SURE, LIFT = 3, 3.0, 2.0
 #: Lengths of stems, and characters of a text that are split into words at once.
 STEMS, AT_ONCE = range(3, 9), 1 << 20
-#: Steps of the label model without and with dependences; steps of the classifier; its L2 weight.
-PLAIN_STEPS, TREE_STEPS, FIT_STEPS, RIDGE = 8, 6, 40, 1e-5
+#: Steps of the label model and of the classifier; its L2 weight.
+MODEL_STEPS, FIT_STEPS, RIDGE = 12, 40, 1e-5
 #: Toxic styles of the label model; log odds of a training label; units in which posteriors and gradients are summed.
 STYLES, GOLD, UNITS = 8, float(np.log(99)), 1 << 20
 #: Words that a task gathers before their counts leave; sums that move in one row.
@@ -382,12 +382,10 @@ def label_model(seen: DataFrame, size: int) -> LabelModel:
 
     plain = LabelModel.seeded(over_all(label_sums, 2 + 2 * size * size), size)
     n = len(plain.toxic)
-    for _ in range(PLAIN_STEPS):
-        plain.fit(over_all(plain.sums, n + 4 * n * size))
     tree = LabelModel(plain.toxic, size)
     tree.depend(over_all(plain.pair_sums, n + n * size * size))
     tree.fit(over_all(lambda *votes: tree.sums(*votes, by=plain), n + 4 * n * size))
-    for _ in range(TREE_STEPS - 1):
+    for _ in range(MODEL_STEPS - 1):
         tree.fit(over_all(tree.sums, n + 4 * n * size))
     unstash(seen.sparkSession, patterns)
     return tree
