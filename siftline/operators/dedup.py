@@ -1,105 +1,41 @@
-"""Near-duplicate removal: exact groups, MinHash bands, exact Jaccard, components, representatives."""
+"""Near-duplicate removal: exact groups, exact similarity links, components, representatives."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions.text import dedup_normal, shingle_set
-from siftline.operators.components import components
-from siftline.sources.files import stored
+from siftline.functions.text import dedup_normal
+from siftline.operators.setjoin import compared, similar_components, sketch
+from siftline.scratch import stored
 
 
-def sketch(text: Column, perms: int = 256, bands: int = 42, seed: int = 20260921) -> Column:
-    """struct(grams, keys, bits) of a normalised text, by one Arrow batch function.
-
-    ``grams`` are the sorted distinct 3-character shingles as numbers (a text of at most three characters is its own
-    shingle), ``keys`` a hash for each band of the MinHash signature, ``bits`` the lowest bit of each place.  Without
-    shingles the signature is all zeros.  Shingle sets are never exploded to rows.
-    """
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1, 1 << 63, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, perms, dtype=np.uint64)
-    rows = perms // bands
-
-    @F.pandas_udf("struct<grams:array<bigint>,keys:array<bigint>,bits:array<bigint>>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        out = {"grams": [], "keys": [], "bits": []}
-        for t in batch:
-            g = shingle_set(t)
-            sig = np.zeros(perms, np.uint64)
-            if len(g):
-                x = g.astype(np.uint64)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-                sig = np.full(perms, 0xFFFFFFFF, np.uint64)
-                for i in range(0, len(x), 2048):
-                    sig = np.minimum(sig, ((x[i : i + 2048, None] * a + b) >> np.uint64(32)).min(0))
-            keys = np.zeros(bands, np.uint64)
-            for r in range(rows):
-                keys = (keys ^ sig[r : rows * bands : rows]) * np.uint64(0x9E3779B97F4A7C15)
-                keys ^= keys >> np.uint64(29)
-            out["grams"].append(g)
-            out["keys"].append(keys.view(np.int64))
-            out["bits"].append(np.packbits((sig & np.uint64(1)).astype(np.uint8)).view(np.int64))
-        return pd.DataFrame(out)
-
-    return run(text)
-
-
-def candidate_pairs(sketched: DataFrame, threshold: float, perms: int = 256) -> DataFrame:
-    """I < j for rows that share a band, if their shingle counts and signature bits leave the threshold open.
-
-    Rows are distinct texts; only their number of shingles and ``perms`` bits move, shingles stay behind.  Two bits
-    differ with probability (1 - similarity) / 2, so a pair at the threshold is dropped only if its bits differ more
-    often than expected by over 4.5 standard deviations: about as rarely as all bands miss it, 3 times in a million.
-    """
-    p = (1 - threshold) / 2
-    most = p * perms + 4.5 * (perms * p * (1 - p)) ** 0.5
-    n = F.size("grams").alias("n")
-    banded = sketched.select("i", n, *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(perms // 64)], F.posexplode("keys").alias("band", "key"))
-    x, y = banded.alias("x"), banded.alias("y")
-    near = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    differ = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(perms // 64)), F.lit(0))
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.i") < F.col("y.i"))
-    return x.join(y, met & near & (differ <= most)).select(F.col("x.i").alias("i"), F.col("y.i").alias("j")).distinct()
-
-
-def similar_pairs(sketched: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """I, j, jaccard of the pairs at or above the threshold."""
-    a = sketched.select(F.col("i"), F.col("grams").alias("ga"))
-    b = sketched.select(F.col("i").alias("j"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    union = F.size("ga") + F.size("gb") - both
-    joined = pairs.join(a, "i").join(b, "j")
-    return joined.select("i", "j", F.when(union == 0, F.lit(1.0)).otherwise(both / union).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
-def deduplicate(df: DataFrame, *, idx: str = "idx", text: str = "text", priority: Column | None = None, threshold: float = 0.8, perms: int = 256, bands: int = 42) -> DataFrame:
+def deduplicate(df: DataFrame, *, idx: str = "idx", text: str = "text", priority: Column | None = None, threshold: float = 0.8) -> DataFrame:
     """One row per row of ``df``: idx, component, representative, kept, jaccard (to the representative; null if kept).
 
-    Texts that are equal after normalising are one text; near ones are linked at ``threshold``, and a component's
-    representative is its row of highest priority, then smallest idx (A21).  A removed row's similarity may lie
-    below the threshold, because links chain.  Null texts count as empty.
+    Texts that are equal after normalising are one text (X3, X4); those whose shingles reach ``threshold`` are linked by an
+    exact join (J5, J6, U5), and a component's representative is its row of highest priority, then smallest idx (A21).
+    A removed row's similarity may lie below the threshold, because links chain.  Null texts count as empty.  Texts
+    are told apart by two hashes, so that none moves after it is read.
     """
     priority = F.lit(0.0) if priority is None else priority
-    base = stored(df.select(F.col(idx).cast("long").alias("i0"), F.xxhash64(dedup_normal(F.coalesce(F.col(text), F.lit("")))).alias("h"), dedup_normal(F.coalesce(F.col(text), F.lit(""))).alias("norm"), priority.cast("double").alias("p")))
-    texts = base.groupBy("norm").agg(F.min("i0").alias("i"))
-    sketched = stored(texts.withColumn("s", sketch(F.col("norm"), perms, bands)).select("i", "norm", "s.*"))
-    links = similar_pairs(sketched, candidate_pairs(sketched, threshold, perms), threshold)
-    roots = components(links.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    owner = sketched.join(roots, sketched.i == roots.node, "left").select("i", "norm", F.coalesce("root", "i").alias("component"))
-    rows = base.select("i0", "norm", "p").join(owner, "norm").select(F.col("i0").alias("idx"), "i", "component", "p")
+    norm = dedup_normal(F.coalesce(F.col(text), F.lit("")))
+    hashed = df.select(F.col(idx).cast("long").alias("i0"), priority.cast("double").alias("p"), norm.alias("norm")).select("i0", "p", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2"))
+    base = stored(hashed, "normal-forms")
+    texts = stored(base.groupBy("h1", "h2").agg(F.min("i0").alias("i")), "texts")
+    one = base.join(texts, ["h1", "h2"]).where("i0 = i").dropDuplicates(["i"])
+    sets = stored(one.select("i", sketch(F.col("norm")).alias("s")).select("i", "s.*"), "sets")
+    roots = stored(similar_components(sets, threshold), "roots")
+    owner = texts.join(roots, texts.i == roots.node, "left").select("h1", "h2", "i", F.coalesce("root", "i").alias("component"))
+    rows = base.select("i0", "h1", "h2", "p").join(owner, ["h1", "h2"]).select(F.col("i0").alias("idx"), "i", "component", "p")
     best = rows.groupBy("component").agg(F.max_by(F.struct("idx", "i"), F.struct("p", -F.col("idx"))).alias("r"))
-    joined = rows.join(best, "component").select("idx", "i", "component", F.col("r.idx").alias("representative"), F.col("r.i").alias("ri"))
-    moved = joined.where("idx != representative").select("i", F.col("ri").alias("j")).distinct()
-    scored = similar_pairs(sketched, moved, -1.0).withColumnRenamed("j", "ri")
-    out = joined.join(scored, ["i", "ri"], "left")
+    joined = stored(rows.join(best, "component").select("idx", "i", "component", F.col("r.idx").alias("representative"), F.col("r.i").alias("j")), "rows")
+    moved = joined.where("idx != representative AND i != j").select("i", "j").distinct()
+    out = joined.join(compared(moved, sets, sets), ["i", "j"], "left")
     kept = F.col("idx") == F.col("representative")
-    return out.select("idx", "component", "representative", kept.alias("kept"), F.when(~kept, F.round("jaccard", 4)).alias("jaccard"))
+    same = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.round("jaccard", 4))
+    return out.select("idx", "component", "representative", kept.alias("kept"), F.when(~kept, same).alias("jaccard"))
 
 
 def exact_groups(df: DataFrame, *, idx: str = "idx", text: str = "text") -> DataFrame:

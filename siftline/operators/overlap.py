@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions.text import overlap_normal, shingle_keys
+from siftline.functions.text import overlap_normal
+from siftline.operators.setjoin import best_match, similar_across, sketch
+from siftline.scratch import stored
 
 
 def normalised(df: DataFrame, *, id_col: str, text: str, compatibility: bool = True) -> DataFrame:
-    """id, norm, grams (X6: short texts, the empty one too, are their own shingle); null texts count as empty."""
+    """id, norm, grams and their bits (X6: short texts, the empty one too, are their own shingle); null texts count as empty."""
     norm = overlap_normal(F.coalesce(F.col(text), F.lit("")), compatibility)
     rows = df.select(F.col(id_col).cast("string").alias("id"), norm.alias("norm"))
-    return rows.withColumn("grams", shingle_keys(F.col("norm"), own_size=2, empty=True))
+    return rows.withColumn("s", sketch(F.col("norm"), own_size=2, empty=True)).select("id", "norm", "s.*")
 
 
 def exact_matches(probes: DataFrame, references: DataFrame, last_only: bool = False) -> DataFrame:
@@ -27,20 +29,21 @@ def exact_matches(probes: DataFrame, references: DataFrame, last_only: bool = Fa
 def near_matches(probes: DataFrame, references: DataFrame, *, threshold: float = 0.78, cap: int | None = 80) -> DataFrame:
     """Each probe's best reference and its Jaccard, if that reaches ``threshold``.
 
-    An inverted index on shingles: references are exploded, joined with the probes' shingles and counted.  With
-    ``cap`` only the references with the most shared shingles are scored (ties: smaller id); without it all whose
-    size leaves the threshold open.  Jaccard needs only the counts: shared / (both sizes - shared).
+    Without ``cap`` all pairs at the threshold are found by an exact join of the sets.  With it only the references with
+    the most shared shingles are scored (ties: smaller id), from an inverted index on shingles.  Ties go to the smaller
+    reference.
     """
+    if cap is None:
+        one = stored(probes.select(F.col("id").alias("i"), "grams", "bits"), "probes")
+        two = stored(references.select(F.col("id").alias("i"), "grams", "bits"), "references")
+        return best_match(similar_across(one, two, threshold)).select(F.col("i").alias("id"), F.col("j").alias("ref"), "jaccard")
     ref = references.select(F.col("id").alias("ref"), F.size("grams").alias("nr"), F.explode("grams").alias("gram"))
     own = probes.select("id", F.size("grams").alias("np"), F.explode("grams").alias("gram"))
-    bound = F.lit(True) if cap else F.least("np", "nr") >= threshold * F.greatest("np", "nr")
-    shared = own.join(ref, "gram").where(bound).groupBy("id", "np", "ref", "nr").agg(F.count("*").alias("shared"))
-    if cap:
-        best = W.partitionBy("id").orderBy(F.desc("shared"), "ref")
-        shared = shared.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= cap)
-    scored = shared.withColumn("jaccard", F.col("shared") / (F.col("np") + F.col("nr") - F.col("shared")))
-    top = scored.withColumn("_b", F.row_number().over(W.partitionBy("id").orderBy(F.desc("jaccard"), "ref"))).where("_b = 1")
-    return top.where(F.col("jaccard") >= threshold).select("id", "ref", "jaccard")
+    shared = own.join(ref, "gram").groupBy("id", "np", "ref", "nr").agg(F.count("*").alias("shared"))
+    best = W.partitionBy("id").orderBy(F.desc("shared"), "ref")
+    capped = shared.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= cap)
+    scored = capped.select(F.col("id").alias("i"), F.col("ref").alias("j"), (F.col("shared") / (F.col("np") + F.col("nr") - F.col("shared"))).alias("jaccard"))
+    return best_match(scored).where(F.col("jaccard") >= threshold).select(F.col("i").alias("id"), F.col("j").alias("ref"), "jaccard")
 
 
 def overlap_report(probes: DataFrame, references: DataFrame, **options) -> DataFrame:

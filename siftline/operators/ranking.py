@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.sources.files import stored
+from siftline.scratch import stored
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

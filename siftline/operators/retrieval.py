@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions.text import retrieval_tokens, searchable, without_place
-from siftline.sources.files import stored
+from siftline.scratch import stored
 
 K1, B = 1.2, 0.75
 #: Words of a question that ask for food, for sights, and for what changes by the hour.

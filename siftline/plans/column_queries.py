@@ -7,18 +7,11 @@ from pyspark.sql import functions as F
 from siftline.functions import decisions, records, signals, text
 from siftline.operators import checks, evaluate, expand, retrieval, select, traces
 from siftline.plans.queries import COVER_SQL, pool, query
+from siftline.scratch import new_path
 from siftline.session import table
 from siftline.sources import files
 
 
-def scratch(spark, name: str) -> str:
-    """A new path below the session's checkpoint folder."""
-    import uuid
-
-    files.stored(spark.range(0))  # sets a folder where none is
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def picked(values: tuple, index):
     """The value at ``index`` modulo their number."""
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
@@ -220,7 +213,7 @@ def topped_up(spark, sf_dir):
 @query("SELECT doc_id, coalesce(text, '') AS text, lang FROM documents")
 def jsonl_round_trip(spark, sf_dir):
     """Written as JSON lines and read again."""
-    path = scratch(spark, "jsonl")
+    path = new_path(spark, "jsonl")
     files.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang"), path)
     return files.read_jsonl(spark, path, "doc_id long, text string, lang string").drop("line_no")
 
@@ -228,7 +221,7 @@ def jsonl_round_trip(spark, sf_dir):
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, o_clerk FROM (SELECT o_orderkey, o_orderpriority, 'clerk ' || o_custkey AS o_clerk FROM orders)")
 def tsv_round_trip(spark, sf_dir):
     """Written as TSV with tabs and line breaks cleaned, and read again."""
-    path = scratch(spark, "tsv")
+    path = new_path(spark, "tsv")
     clerk = F.concat(F.lit("clerk\t"), F.col("o_custkey").cast("string"))
     files.write_tsv(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderpriority", clerk.alias("o_clerk")), path)
     return files.read_tsv(spark, path, ["o_orderkey", "o_orderpriority", "o_clerk"])

@@ -12,7 +12,7 @@ from siftline.functions.signals import band, difficulty, quality
 from siftline.operators import select
 from siftline.operators.dedup import deduplicate
 from siftline.operators.evaluate import label_summary, top_errors
-from siftline.sources.files import stored
+from siftline.scratch import stored
 
 
 @dataclass

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.signals import confidence
-from siftline.sources.files import stored, todo
+from siftline.scratch import stored
+from siftline.sources.files import todo
 
 #: Statuses worth another try, and the wait in seconds before the first one, doubled each time.
 RETRY_STATUS, FIRST_WAIT = (408, 409, 425, 429, 500, 502, 503, 504), 0.8
