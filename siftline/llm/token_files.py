@@ -22,8 +22,6 @@ import json
 import os
 import re
 import zlib
-from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,43 +31,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.llm.common import kept, map_file, put_file, scratch, stash
+from siftline.llm.hashing import flat, slices
 
 MAGIC = b"DACIDS01"
 #: Bits between entries of a rank directory; tokens after which a file is closed.
 RANK, FILE_TOKENS = 512, 4_000_000
-#: Bytes of pieces and their ids that a worker keeps; bytes that a piece takes beside its characters and ids; pieces
-#: of more characters than this are not kept.
-KEPT_BYTES, PIECE_BYTES, LONG_PIECE = 96 << 20, 120, 32
-#: Pieces that go through the tokenizer in one string, with line ends between them.
-JOINED = 256
-
-#: A blank run with the word after it, or blanks at the end: no token of a byte-level BPE with the usual
-#: splitting pattern reaches over a place where a blank follows another character.
-PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: Blanks beyond ASCII, which join runs of blanks, and the special token: such texts go whole.
-WIDE = re.compile("[\x85\xa0  -     　]")
+#: Places of a worker's table of pieces (about 45 bytes each), bytes of a piece that it can hold, ids of a piece, and how
+#: often a place that is in use turns others away before one takes it.
+PLACES, PIECE_BYTES, PIECE_IDS, WORTH = 1 << 20, 16, 6, 3
+#: Pieces that are looked up at once, and new pieces that go through the tokenizer in one string, with line ends between.
+AT_ONCE, JOINED = 1 << 18, 256
+#: Bytes of text that are encoded at once.
+TEXT_AT_ONCE = 4 << 20
+#: The special token: texts that hold it go whole.
 SPECIAL = "<|endoftext|>"
-
-
-class Codes(dict):
-    """Piece to number; an unknown piece gets the next one and is noted in ``new``."""
-
-    def __init__(self, pieces=()):
-        super().__init__((p, i) for i, p in enumerate(pieces))
-        self.new: list[str] = []
-        self.count = len(self)
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = n = self.count
-        self.count += 1
-        return n
+#: First bytes of blanks beyond ASCII (they join runs of blanks) and of the special token, and what a text that goes whole
+#: holds, as UTF-8.
+LEADS = np.zeros(256, bool)
+LEADS[[0x00, 0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+WIDE = re.compile(rb"\x00|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|" + re.escape(SPECIAL.encode()))
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def splits(path: str) -> bool:
-    """Whether a tokenizer's file is a byte-level BPE that encodes the pieces of :data:`PIECE` one by one.
+    """Whether a tokenizer's file is a byte-level BPE that encodes pieces one by one.
 
-    That takes the usual splitting pattern without a prefix space, no normaliser, no options that cross or drop
+    The pieces of :func:`cuts` are meant.  That takes the usual splitting pattern without a prefix space, no normaliser, no options that cross or drop
     pieces, and ``SPECIAL`` as the only added token.
     """
     with open(path, encoding="utf-8") as f:
@@ -80,99 +69,136 @@ def splits(path: str) -> bool:
     return bool(plain and whole and not spec.get("normalizer") and all(x.get("content") == SPECIAL for x in spec.get("added_tokens") or []))
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin: at each text, and at each blank that follows another character.
+
+    A piece is a run of ASCII blanks with what follows up to the next one.  No token of a byte-level BPE with the usual
+    splitting pattern reaches over such a place, but for blanks beyond ASCII and the special token; a text that holds one
+    of those, or a zero byte, is one piece.
+    """
+    blank = BLANK[data]
+    first = np.zeros(len(data), bool)
+    first[1:] = blank[1:] & ~blank[:-1]
+    lead = np.flatnonzero(LEADS[data])
+    raw = memoryview(data)
+    for t in np.unique(np.searchsorted(offsets, lead, "right") - 1):
+        a, b = int(offsets[t]), int(offsets[t + 1])
+        if WIDE.search(raw, a, b):
+            first[a:b] = False
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(first)
+
+
 class Pieces:
-    """Encodes texts by their pieces; each distinct piece goes through the tokenizer once while it is kept.
+    """Encodes texts by their pieces; what a table of pieces holds is looked up, the rest goes through the tokenizer.
 
-    When pieces and ids take more than ``kept_bytes``, those used most since the last time stay, in half of it.  Long
-    pieces are dropped after the call.  A tokenizer of another kind than :func:`splits` gets whole texts.
+    The table has a fixed number of places.  A piece of ``PIECE_BYTES`` or fewer bytes is two numbers, which are its bytes,
+    so equal numbers are equal pieces; its place is a hash of them.  A new piece takes its place unless one that was met
+    lately is there.  A tokenizer of another kind than :func:`splits` gets whole texts.
     """
 
-    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
+    def __init__(self, path: str, places: int = PLACES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.splits, self.kept_bytes = Tokenizer.from_file(path), splits(path), kept_bytes
+        self.tokenizer, self.splits = Tokenizer.from_file(path), splits(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
-        self._start([])
-
-    def _start(self, pieces: list[str]) -> None:
-        self.codes, self.used = Codes(pieces), np.zeros(len(pieces), np.int64)
-        self.flat, self.first, self.size = array("I"), array("q"), array("q")
-        self.bytes = sum(map(len, pieces)) + PIECE_BYTES * len(pieces)
-
-    def trim(self) -> None:
-        flat, first, size, numbers = np.array(self.flat, np.uint32), np.array(self.first), np.array(self.size), np.fromiter(self.codes.values(), np.int64, len(self.codes))
-        pieces, used = list(self.codes), self.used[numbers]
-        costs = np.fromiter(map(len, pieces), np.int64, len(pieces)) + PIECE_BYTES + 4 * size[numbers]
-        order = np.argsort(-used, kind="stable")
-        kept = order[(np.cumsum(costs[order]) <= self.kept_bytes // 2) & (used[order] > 1)]
-        pieces, numbers = [pieces[i] for i in kept], numbers[kept]
-        self._start(pieces)
-        for i in numbers:
-            self.first.append(len(self.flat))
-            self.size.append(size[i])
-            self.flat.frombytes(flat[first[i] : first[i] + size[i]].tobytes())
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces, in the order of their numbers.
+        self.shift = np.uint64(64 - (places - 1).bit_length())
+        self.low, self.high = np.zeros(places, np.uint64), np.zeros(places, np.uint64)
+        self.size, self.worth, self.ids = np.zeros(places, np.uint8), np.zeros(places, np.uint8), np.zeros((places, PIECE_IDS), np.uint32)
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has).
 
         A piece without blanks but one before its first character may stand between line ends in a longer string:
         the splitting pattern takes each line end by itself there, so the ids between two of them are the piece's.
         """
-        first, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        out: list = [None] * len(new)
         plain = [self.line is not None and p.isprintable() and p.find(" ", 1) < 0 and SPECIAL not in p for p in new]
-        alone, joined = [i for i, x in enumerate(plain) if not x], np.flatnonzero(plain)
+        alone, joined = [i for i, x in enumerate(plain) if not x], [i for i, x in enumerate(plain) if x]
         groups = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
         for a in range(0, len(groups), 100):
             texts = ["\n".join([new[i] for i in g]) for g in groups[a : a + 100]]
             for g, e in zip(groups[a:], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, np.uint32)
-                ends = np.concatenate([[-1], np.flatnonzero(ids == self.line), [len(ids)]])
-                if len(ends) != len(g) + 1:
-                    alone += g.tolist()
+                ends = np.flatnonzero(ids == self.line)
+                if len(ends) != len(g) - 1:
+                    alone += g
                     continue
-                size[g] = np.diff(ends) - 1
-                first[g] = len(self.flat) + np.cumsum(size[g]) - size[g]
-                self.flat.frombytes(ids[ids != self.line].tobytes())
+                for i, x, y in zip(g, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)]):
+                    out[i] = ids[x:y]
         for a in range(0, len(alone), 20_000):
             for i, e in zip(alone[a:], self.tokenizer.encode_batch_fast([new[i] for i in alone[a : a + 20_000]], add_special_tokens=False)):
-                first[i], size[i] = len(self.flat), len(e.ids)
-                self.flat.extend(e.ids)
-        self.first.frombytes(first.tobytes())
-        self.size.frombytes(size.tobytes())
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+                out[i] = np.array(e.ids, np.uint32)
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.fromiter(map(len, out), np.int64, len(out))
+
+    def _segment(self, words: np.ndarray, raw: memoryview, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each piece has) of some pieces in a row; ``words`` are the eight bytes from every place on."""
+        n = ends - starts
+        low = words[starts] & MASKS[np.minimum(n, 8)]
+        high = words[np.minimum(starts + 8, len(words) - 1)] & MASKS[np.clip(n - 8, 0, 8)]
+        hashed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ ((high + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93))
+        hashed ^= hashed >> np.uint64(32)
+        hashed *= np.uint64(0x9FB21C651E98DF25)
+        place = (hashed >> self.shift).astype(np.int64)
+        fits = n <= PIECE_BYTES
+        known = fits & (self.size[place] > 0) & (self.low[place] == low) & (self.high[place] == high)
+        self.worth[place[known]] = WORTH
+        counts = np.where(known, self.size[place], 0).astype(np.int64)
+
+        missing = np.flatnonzero(~known)
+        kinds, rep, of = np.unique(np.where(fits, hashed, starts.astype(np.uint64))[missing], return_index=True, return_inverse=True)
+        rep = missing[rep]
+        same = (low[rep[of]] == low[missing]) & (high[rep[of]] == high[missing]) & (n[rep[of]] == n[missing]) & (fits[missing] | (rep[of] == missing))
+        if not same.all():  # two pieces of one hash: each for itself
+            odd = np.flatnonzero(~same)
+            of[odd] = len(rep) + np.arange(len(odd))
+            rep = np.concatenate([rep, missing[odd]])
+        ids, sizes = self._learn([bytes(raw[a:b]).decode() for a, b in zip(starts[rep].tolist(), ends[rep].tolist())])
+        first = np.cumsum(sizes) - sizes
+        counts[missing] = sizes[of]
+
+        at = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        out[spread(at[known], counts[known])] = self.ids.ravel()[spread(place[known] * PIECE_IDS, counts[known])]
+        out[spread(at[missing], counts[missing])] = ids[spread(first[of], counts[missing])]
+        self._keep(np.flatnonzero(fits[rep] & (sizes > 0) & (sizes <= PIECE_IDS)), rep, place, low, high, ids, first, sizes)
+        return out, counts
+
+    def _keep(self, new, rep, place, low, high, ids, first, sizes) -> None:
+        where = place[rep[new]]
+        taken = self.worth[where] > 0
+        self.worth[np.unique(where[taken])] -= 1
+        where, at = np.unique(where[~taken], return_index=True)
+        new = new[~taken][at]
+        self.low[where], self.high[where], self.size[where] = low[rep[new]], high[rep[new]], sizes[new]
+        self.ids.ravel()[spread(where * PIECE_IDS, sizes[new])] = ids[spread(first[new], sizes[new])]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (no nulls)."""
         if not self.splits:
-            return [np.array(e.ids, np.uint32) for t in texts for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
-        if self.bytes + 4 * len(self.flat) > self.kept_bytes:
-            self.trim()
-        split = [[t] if SPECIAL in t or not t.isascii() and WIDE.search(t) else PIECE.findall(t) for t in texts]
-        sizes, codes = [len(s) for s in split], self.codes
-        c = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
-        self._learn(codes.new)
-        for piece in codes.new:
-            self.bytes += PIECE_BYTES
-            if len(piece) > LONG_PIECE:
-                del codes[piece]
-            else:
-                self.bytes += len(piece)
-        codes.new.clear()
-        held = lambda x, kind: np.frombuffer(x, kind) if len(x) else np.zeros(0, kind)
-        flat, first, size = held(self.flat, np.uint32), held(self.first, np.int64), held(self.size, np.int64)
-        self.used = np.concatenate([self.used, np.zeros(codes.count - len(self.used), np.int64)])
-        np.add.at(self.used, c, 1) if len(c) < codes.count // 8 else np.add(self.used, np.bincount(c, minlength=codes.count), out=self.used)
-        n = size[c]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(n) else 0
-        ids = flat[np.repeat(first[c] - (ends - n), n) + np.arange(total)]
-        cut = np.concatenate([[0], ends])[np.cumsum([0, *sizes])]
+            return [np.array(e.ids, np.uint32) for t in texts.to_pylist() for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
+        data, offsets = flat(texts)
+        starts = cuts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        words, raw = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,)), memoryview(padded)
+        parts = [self._segment(words, raw, starts[a : a + AT_ONCE], ends[a : a + AT_ONCE]) for a in range(0, len(starts), AT_ONCE)]
+        ids = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint32)
+        upto = np.concatenate([[0], np.cumsum(np.concatenate([x for _, x in parts]))]) if parts else np.zeros(1, np.int64)
+        cut = upto[np.searchsorted(starts, offsets)]
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``n`` of them, one list after another."""
+    upto = np.cumsum(n)
+    return np.repeat(first - (upto - n), n) + np.arange(int(upto[-1]) if len(n) else 0)
+
+
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(chunks, bitmap, ranks) of each level."""
     levels = []
@@ -266,9 +292,9 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, out: str | None = None, end
 
         last = np.array([] if end is None else [end], np.uint32)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                rows = batch.slice(a, 500)
-                for d, x in zip(rows.column("d").to_pylist(), pieces.encode(rows.column("text").to_pylist())):
+            for a, n in slices(batch.column("text"), TEXT_AT_ONCE):
+                rows = batch.slice(a, n)
+                for d, x in zip(rows.column("d").to_pylist(), pieces.encode(rows.column("text"))):
                     doc_ids.append(d)
                     ids.append(np.concatenate([x, last]))
                     size += len(ids[-1])

@@ -3,9 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from pyspark.sql import functions as F
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from siftline.llm.token_files import Pieces, TokenFile, encode_levels, file_chunks, splits, token_table, write_tokens
+from siftline.llm.common import kept
+from siftline.llm.hashing import flat
+from siftline.llm.token_files import Pieces, TokenFile, cuts, encode_levels, file_chunks, splits, token_table, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -72,22 +76,39 @@ def test_empty(spark):
     assert token_table(spark.createDataFrame([], "doc_id long, text string"), tokenizer=PATH).collect() == []
 
 
-def test_cache_is_bounded_by_bytes_and_long_pieces_are_not_kept():
+def encoded(pieces, texts):
+    return [x.tolist() for x in pieces.encode(pa.array(texts, pa.string()))]
+
+
+def test_a_small_table_changes_nothing():
     rng, t = random.Random(8), library()
     han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
-    texts = [rng.choice([" ", "　", "\n"]).join(han(rng.choice([3, 200])) for _ in range(20)) for _ in range(400)]
-    pieces = Pieces(PATH, kept_bytes=200_000)
-    assert pieces.splits
-    for a in range(0, len(texts), 20):
-        for text, ids in zip(texts[a : a + 20], pieces.encode(texts[a : a + 20])):
-            assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
-        assert all(len(p) <= 32 for p in pieces.codes)
-        pieces.trim()
-        assert pieces.bytes + 4 * len(pieces.flat) <= 200_000
-    again = [texts[0], "a b a", "a b", texts[0]]
+    texts = [rng.choice([" ", "　", "\n"]).join(han(rng.choice([1, 3, 200])) for _ in range(20)) for _ in range(200)]
+    texts += [" ".join(rng.choice(["the", "of", "on", "é" * rng.randrange(9), "x" * rng.randrange(30), "a\0b"]) for _ in range(50)) for _ in range(200)]
+    rng.shuffle(texts)
+    for places in (1, 16, 1 << 12):
+        pieces = Pieces(PATH, places=places)
+        size = sum(x.nbytes for x in (pieces.low, pieces.high, pieces.size, pieces.worth, pieces.ids))
+        assert pieces.splits and size <= 45 * places
+        for a in range(0, len(texts), 40):
+            assert encoded(pieces, texts[a : a + 40]) == [t.encode(x, add_special_tokens=False).ids for x in texts[a : a + 40]]
+    again = [texts[0], "a b a", "", "a b", texts[0]]
     for _ in range(3):
-        assert [x.tolist() for x in pieces.encode(again)] == [t.encode(x, add_special_tokens=False).ids for x in again]
-        pieces.trim()
+        assert encoded(pieces, again) == [t.encode(x, add_special_tokens=False).ids for x in again]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x0c\x00\x1c\x85\xa0\u2003\u3000\u1680'<|>ab.1é日"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=6))
+def test_any_text_as_the_library_has_it(texts):
+    held = kept("test-pieces", lambda: (Pieces(PATH, places=256), library()))
+    assert encoded(held[0], texts) == [held[1].encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_pieces_begin_where_blanks_follow_other_characters():
+    texts = ["", "a b  c ", " x\ty", "", "a\xa0b c"]
+    data, offsets = flat(pa.array(texts))
+    at = np.append(cuts(data, offsets), len(data))
+    assert [bytes(data[a:b]).decode() for a, b in zip(at[:-1], at[1:])] == ["a", " b", "  c", " ", " x", "\ty", "a\xa0b c"]
 
 
 def test_a_tokenizer_of_another_kind_gets_whole_texts(spark):
