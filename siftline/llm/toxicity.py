@@ -338,8 +338,8 @@ def label_sums(x: np.ndarray, gold: np.ndarray, counts: np.ndarray) -> np.ndarra
 def gathered(table: DataFrame, f, columns: list[str], length: int) -> np.ndarray:
     """The sum over all batches of the whole-number vectors that ``f`` makes of them.
 
-    A task sends a row for each stretch of ``STRETCH`` sums that is not all zeros; tasks that each take some of the
-    stretches add them up.
+    Each core reads its share of the compact table in two tasks at most and sends a row for each stretch of ``STRETCH``
+    sums that is not all zeros; tasks that each take some of the stretches add them up.
     """
 
     def run(batches):
@@ -358,7 +358,8 @@ def gathered(table: DataFrame, f, columns: list[str], length: int) -> np.ndarray
         yield _sums(list(sums.items()))
 
     out = np.zeros(length, np.int64)
-    sent = table.select(*columns).mapInArrow(run, "k int, sums binary")
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    sent = table.select(*columns).coalesce(2 * cores).mapInArrow(run, "k int, sums binary")
     for r in sent.repartition(-(-length // STRETCH), "k").mapInArrow(add, "k int, sums binary").collect():
         out[r.k * STRETCH : (r.k + 1) * STRETCH] += np.frombuffer(r.sums, np.int64)
     return out
