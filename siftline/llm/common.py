@@ -2,84 +2,51 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import tempfile
 import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline import scratch as scratch_space
+from siftline.broadcasts import small  # noqa: F401  operators of this package take it from here
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Runs between ASCII blanks (space and U+0009 to U+000D).
 TOKEN = r"[^\x20\x09-\x0D]+"
 
-#: A table under this many bytes may be broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 32 << 20
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows, at ``row_bytes`` and the measured bytes of their texts, stay below ``limit``.
-
-    Beyond the limit the hint is left out and Spark shuffles both sides, so that no broadcast grows with
-    the data.  ``df`` should be cheap to count: a written table, say.
-    """
-    texts = [F.octet_length(F.col(f"`{name}`")) for name, kind in df.dtypes if kind in ("string", "binary")]
-    long = sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(0)).cast("long")
-    most = limit // row_bytes
-    rows, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(long), F.lit(0))).first()
-    return F.broadcast(df) if rows <= most and rows * row_bytes + size <= limit else df
-
-
 #: Rows and bytes of an Arrow batch, where the session sets none: texts are long, and workers hold a batch whole.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster see: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent in a session on this machine alone (tests) a folder is made and set; a cluster
-    without the setting is an error, as its machines share no other folder.  Also bounds the session's Arrow batches.
-    """
+    """The folder that all machines of the cluster see (:func:`siftline.scratch.shared_root`).  Also bounds the session's Arrow batches."""
     for key, value in BATCHES.items():
         if not spark.conf.get(key, None):
             spark.conf.set(key, value)
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    return scratch_space.shared_root(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; nothing is made there yet."""
-    return f"{shared_root(spark)}/siftline/{name}-{uuid.uuid4().hex}"
+    shared_root(spark)
+    return scratch_space.new_path(spark, name)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` below the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.stashed_at = path
-    return back
-
-
-def unstash(spark: SparkSession, *tables: DataFrame | str) -> None:
-    """Deletes stashed tables that nothing will read any more."""
-    for table in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(getattr(table, "stashed_at", table))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    shared_root(df.sparkSession)
+    return scratch_space.stored(df, name)
+
+
+unstash = scratch_space.dropped
 
 
 def storage(uri: str):
