@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.decisions import decision, error_kind, is_valid
+from siftline.functions.decisions import error_kind, is_valid
+from siftline.operators.contract import with_decision
 
 #: Passing rates, by whether a family asks that nothing be done.
 TARGET_NEGATIVE, TARGET_OTHER = 0.95, 0.90
@@ -18,7 +19,7 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 def judged(gold: DataFrame, predictions: DataFrame, *, mode: str = "salvage") -> DataFrame:
     """Gold (id, expected as JSON, …) with ``want`` and ``got`` as typed decisions; missing predictions are null."""
     joined = gold.join(predictions.select("id", F.col("text").alias("_text")), "id", "left")
-    return joined.withColumn("want", decision(F.col("expected"))).withColumn("got", decision(F.col("_text"), mode)).drop("_text")
+    return with_decision(with_decision(joined, "expected", name="want"), "_text", name="got", mode=mode).drop("_text")
 
 
 def lenient(rows: DataFrame) -> DataFrame:

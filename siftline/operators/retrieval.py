@@ -15,6 +15,9 @@ FOOD = ("美食", "小吃", "吃", "味道", "菜", "早餐")
 SIGHT = ("景点", "逛", "玩", "游览", "风景", "地标")
 LIVE = ("票价", "多少钱", "价格", "营业", "开门", "闭馆", "几点", "天气", "排队", "人多", "路况", "怎么去", "路线", "导航", "预约", "电话", "今天", "明天", "现在", "实时")
 KIND_BOOST, NAME_BOOST, LEAST_SCORE, LIMIT, CITED = 3.0, 8.0, 0.05, 4, 3
+#: Blocks of a term's postings; heaviest postings of a term, for each result asked, that give the first bound; allowance
+#: for the rounding of scores to four places.
+BLOCKS, CHAMPIONS, SLACK = 16, 8, 1e-4
 
 
 def live_question(question: Column) -> Column:
@@ -49,38 +52,107 @@ def bm25(tf: Column, df: Column, n: Column, length: Column, avg: Column) -> Colu
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
 
 
-def scores(docs: DataFrame, queries: DataFrame, *, group: str, doc: str, text: Column) -> DataFrame:
-    """q, doc, score, long_match: sums over the queries' distinct terms (q, grp, terms), in the group's own statistics.
+def weighed(docs: DataFrame, terms: DataFrame, *, group: str, doc: str, text: Column, more: tuple[str, ...] = ()) -> DataFrame:
+    """grp, term, doc, part, long and the columns ``more`` of documents: the postings of ``terms`` (grp, term), weighed, written.
 
-    Terms that no query has are left out before documents are grouped; the postings that remain are written once.
-    ``long_match`` tells whether a shared term has two characters or more.
+    ``part`` is what the term adds to the document's score in its group's own statistics; ``long`` tells whether the term
+    has two characters or more.
     """
-    terms = queries.select("q", "grp", F.explode(F.array_distinct("terms")).alias("term"))
-    posts = stored(postings(docs, group=group, doc=doc, text=text, terms=terms.select("grp", "term").distinct()))
+    posts = stored(postings(docs, group=group, doc=doc, text=text, terms=terms.distinct()), "postings")
     df = posts.groupBy("grp", "term").agg(F.count("*").alias("df"))
     stats = statistics(docs, group=group, text=text)
     part = bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("avg_length"))
-    weighed = posts.join(df, ["grp", "term"]).join(stats, "grp").select("grp", "term", "doc", part.alias("part"), (F.char_length("term") >= 2).alias("long"))
-    met = weighed.join(terms, ["grp", "term"])
+    out = posts.join(df, ["grp", "term"]).join(stats, "grp").select("grp", "term", "doc", part.alias("part"), (F.char_length("term") >= 2).alias("long"))
+    if more:
+        out = out.join(docs.select(F.col(group).alias("grp"), F.col(doc).alias("doc"), *more), ["grp", "doc"])
+    return stored(out, "weighed")
+
+
+def scores(docs: DataFrame, queries: DataFrame, *, group: str, doc: str, text: Column) -> DataFrame:
+    """q, doc, score, long_match: sums over the queries' distinct terms (q, grp, terms), for every document that shares one."""
+    terms = queries.select("q", "grp", F.explode(F.array_distinct("terms")).alias("term"))
+    met = weighed(docs, terms.select("grp", "term"), group=group, doc=doc, text=text).join(terms, ["grp", "term"])
     return met.groupBy("q", "doc").agg(F.sum("part").alias("score"), F.max("long").alias("long_match"))
 
 
+def best_scores(posts: DataFrame, queries: DataFrame, k: int, *, fits: Column | None = None, eligible: Column | None = None, blocks: int = BLOCKS, champions: int = CHAMPIONS) -> DataFrame:
+    """Q, doc, score, long_match for all documents that can be among a query's ``k`` best, by bounds on their scores.
+
+    ``posts`` are :func:`weighed` postings, ``queries`` q, grp, terms and what ``fits`` reads; ``fits`` is a condition on a query
+    and a posting, ``eligible`` one on ``long_match`` and the query's columns for documents that may be returned.
+
+    A term's postings are cut into blocks by weight; each block and each term has a maximum.  The heaviest postings of
+    every term give a score that k eligible documents reach.  With it, terms that together stay below it bring in no
+    document of their own, blocks whose maximum with those of all other terms stays below it are not read, and of
+    the documents that the other terms bring in only those are completed whose bound reaches it.  No document that belongs
+    to the k best is lost, ties with the k-th included.
+    """
+    fits, eligible = F.lit(True) if fits is None else fits, F.lit(True) if eligible is None else eligible
+    own = [c for c in queries.columns if c not in ("q", "grp", "terms")]
+    tops = posts.groupBy("grp", "term").agg(F.max("part").alias("most"))
+    cut = posts.join(tops, ["grp", "term"]).withColumn("block", F.least(F.lit(blocks - 1), F.floor((1 - F.col("part") / F.col("most")) * blocks)).cast("int"))
+    cut = stored(cut.drop("most"), "blocks")
+    sizes = stored(cut.groupBy("grp", "term", "block").agg(F.max("part").alias("top")), "maxima")
+    asked = queries.select("q", "grp", *own, F.explode(F.array_distinct("terms")).alias("term"))
+    of_q = W.partitionBy("q")
+    asked = stored(asked.join(sizes.groupBy("grp", "term").agg(F.max("top").alias("most")), ["grp", "term"]).withColumn("rest", F.sum("most").over(of_q) - F.col("most")), "asked")
+
+    heavy = cut.withColumn("n", F.row_number().over(W.partitionBy("grp", "term", *[c for c in cut.columns if c not in ("grp", "term", "doc", "part", "long", "block")]).orderBy(F.desc("part"), "doc"))).where(F.col("n") <= champions * k).drop("n")
+    first = asked.join(heavy, ["grp", "term"]).where(fits).groupBy("q", "doc", *own).agg(F.sum("part").alias("s"), F.max("long").alias("long_match")).where(eligible)
+    reached = first.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s")))).where(F.col("n") == k).select("q", (F.col("s") - SLACK).alias("least"))
+    up = W.partitionBy("q").orderBy("most", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    need = asked.join(reached, "q", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("leads", F.sum("most").over(up) >= F.col("least"))
+    need = need.withColumn("others", F.coalesce(F.sum(F.when(~F.col("leads"), F.col("most"))).over(of_q), F.lit(0.0)))
+    read = stored(need.join(sizes, ["grp", "term"]).where(F.col("top") + F.col("rest") >= F.col("least")), "read")
+
+    met = read.where("leads").join(cut, ["grp", "term", "block"]).where(fits)
+    found = met.groupBy("q", "grp", "doc", "least", "others", *own).agg(F.sum("part").alias("s"), F.max("long").alias("l")).where(F.col("s") + F.col("others") >= F.col("least"))
+    found = stored(found, "candidates")
+    tail = found.select("q", "doc").join(read.where("NOT leads").select("q", "grp", "term", "block"), "q").join(cut, ["grp", "term", "block", "doc"]).groupBy("q", "doc").agg(F.sum("part").alias("more"), F.max("long").alias("l2"))
+    out = found.join(tail, ["q", "doc"], "left").withColumn("score", F.col("s") + F.coalesce("more", F.lit(0.0))).withColumn("long_match", F.col("l") | F.coalesce("l2", F.lit(False)))
+    return out.where((F.col("score") >= F.col("least")) & eligible).select("q", "doc", "score", "long_match")
+
+
+def named_items(kb: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, doc: the items of a question's city whose names stand in it.
+
+    The question's substrings, of the lengths that names have, meet the names as keys.
+    """
+    names = kb.where("name != ''").select(F.col("city_code").alias("grp"), F.col("id").alias("doc"), "name")
+    lengths = names.groupBy("grp").agg(F.collect_set(F.char_length("name")).alias("sizes"))
+    sized = asked.select("q", "grp", "question").join(lengths, "grp").select("q", "grp", "question", F.explode("sizes").alias("size")).where(F.col("size") <= F.char_length("question"))
+    parts = sized.select("q", "grp", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("question") - F.col("size") + 1), lambda i: F.substring("question", i, F.col("size"))))).alias("name"))
+    return parts.join(names, ["grp", "name"]).select("q", "doc").distinct()
+
+
 def search(kb: DataFrame, questions: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     """Q, id, score, rank: the best items of a question's city.
 
     ``kb``: id, city_code, city_name, kind, name, text; ``questions``: q, city_code, question.  The city's name and
     stop words do not count as terms.  An asked kind restricts and boosts; without one an item must be named or
-    share a term of two characters; a named item is boosted.
+    share a term of two characters; a named item is boosted.  Only items that bounds leave among the best, those named
+    and the first of an asked kind meet the question, never all of its city.  Names are distinct from empty texts.
     """
     names = kb.groupBy("city_code").agg(F.min("city_name").alias("city_name"))
     asked = questions.join(names, "city_code").withColumn("query", without_place(F.col("question"), F.col("city_name")))
     asked = asked.select("q", F.col("city_code").alias("grp"), "question", asked_kind(F.col("query")).alias("asked"), retrieval_tokens(searchable(F.col("query"))).alias("terms"))
-    text = F.concat_ws(" ", "name", "text")
-    found = scores(kb, asked, group="city_code", doc="id", text=text)
-    pairs = asked.join(kb.select(F.col("city_code").alias("grp"), F.col("id").alias("doc"), "kind", "name"), "grp").join(found, ["q", "doc"], "left")
-    named = F.contains("question", F.col("name"))
-    keep = F.when(F.col("asked") != "", F.col("kind") == F.col("asked")).otherwise(named | F.coalesce("long_match", F.lit(False)))
-    total = F.coalesce("score", F.lit(0.0)) + F.when(F.col("asked") != "", KIND_BOOST).otherwise(0.0) + F.when(named, NAME_BOOST).otherwise(0.0)
+    asked = stored(asked, "questions")
+    terms = asked.select("grp", F.explode("terms").alias("term"))
+    posts = weighed(kb, terms, group="city_code", doc="id", text=F.concat_ws(" ", "name", "text"), more=("kind",))
+    fits = (F.col("asked") == "") | (F.col("kind") == F.col("asked"))
+    found = best_scores(posts, asked.select("q", "grp", "terms", "asked"), limit, fits=fits, eligible=(F.col("asked") != "") | F.col("long_match"))
+    items = kb.select(F.col("city_code").alias("grp"), F.col("id").alias("doc"), "kind", "name")
+    # an asked kind lets items in that share no term: the first ones, beside as many that share some
+    first = items.withColumn("n", F.row_number().over(W.partitionBy("grp", "kind").orderBy("doc"))).where(F.col("n") <= 2 * limit)
+    filler = asked.where("asked != ''").join(first.withColumnRenamed("kind", "asked"), ["grp", "asked"]).select("q", "doc")
+    named = stored(named_items(kb, asked), "named")
+    chosen = stored(found.select("q", "doc").unionAll(filler).unionAll(named).distinct(), "chosen")
+    mine = asked.select("q", "grp", F.explode(F.array_distinct("terms")).alias("term"))
+    scored = chosen.join(mine, "q").join(posts, ["grp", "term", "doc"]).groupBy("q", "doc").agg(F.sum("part").alias("score"), F.max("long").alias("long_match"))
+    pairs = chosen.join(asked.select("q", "grp", "asked"), "q").join(items, ["grp", "doc"]).join(scored, ["q", "doc"], "left").join(named.withColumn("named", F.lit(True)), ["q", "doc"], "left")
+    is_named = F.coalesce("named", F.lit(False))
+    keep = F.when(F.col("asked") != "", F.col("kind") == F.col("asked")).otherwise(is_named | F.coalesce("long_match", F.lit(False)))
+    total = F.coalesce("score", F.lit(0.0)) + F.when(F.col("asked") != "", KIND_BOOST).otherwise(0.0) + F.when(is_named, NAME_BOOST).otherwise(0.0)
     kept = pairs.where(keep).withColumn("score", F.round(total, 4)).where(total > LEAST_SCORE)
     best = W.partitionBy("q").orderBy(F.desc("score"), "doc")
     return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("q", F.col("doc").alias("id"), "score", "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import decisions, records, signals, text
-from siftline.operators import checks, evaluate, expand, retrieval, select, traces
+from siftline.operators import checks, contract, evaluate, expand, retrieval, select, traces
 from siftline.plans.queries import COVER_SQL, pool, query
 from siftline.scratch import new_path
 from siftline.session import table
@@ -325,14 +325,44 @@ errs AS (SELECT *, CASE WHEN e % 19 = 2 THEN ['unparsed:'] ELSE list_filter([
 @query(f"WITH {DECISION_SQL} SELECT e AS event_id, array_to_string(errors, ' ') AS errors, len(errors) = 0 AS valid, CASE WHEN e % 19 <> 2 THEN scene END AS scene FROM errs")
 def decision_errors(spark, sf_dir):
     """A decision's violations in order, from texts with fences, words around and nothing to parse."""
-    rows = decision_texts(spark, sf_dir).select("event_id", decisions.decision(F.col("text")).alias("d"))
+    rows = contract.with_decision(decision_texts(spark, sf_dir), "text")
     return rows.select("event_id", F.array_join("d.errors", " ").alias("errors"), decisions.is_valid(F.col("d")).alias("valid"), "d.scene")
 
 
+@query(f"WITH {DECISION_SQL}, edge AS (SELECT e, CASE WHEN e % 19 < 3 THEN ['unparsed:'] WHEN scene = 'reading' AND len = '-3' THEN list_append(errors, 'negative:text_length') ELSE errors END AS errors FROM errs) SELECT e AS event_id, array_to_string(errors, ' ') AS errors FROM edge")
+def decision_errors_edge(spark, sf_dir):
+    """V3: the device's profile: the whole text must be one object; signs, lengths and blanks count."""
+    rows = contract.with_decision(decision_texts(spark, sf_dir), "text", mode="strict", profile="edge")
+    return rows.select("event_id", F.array_join("d.errors", " ").alias("errors"))
+
+
+#: Labels by the event's id: scenes, intents, slots as JSON, checked fields.
+LABEL_SCENES, LABEL_INTENTS, LABEL_SLOTS, LABEL_CHECKS = ("chat", "reading", "sea"), ("none", "rewrite"), ('{"goal": "拒绝"}', '{"source": "fax", "x": 1}', "[]", "{}"), ("scene", "slots.goal", "mood", "need_cloud", "")
+
+
+@query(f"""
+WITH l AS (SELECT event_id, {sql_picked(LABEL_SCENES, 'event_id')} AS scene, {sql_picked(LABEL_INTENTS, 'event_id // 3')} AS intent, {sql_picked(LABEL_SLOTS, 'event_id // 5')} AS slots,
+  {sql_picked(LABEL_CHECKS, 'event_id // 7')} AS c, event_id % 2 = 0 AS cloud FROM events),
+e AS (SELECT event_id, CASE WHEN scene = 'sea' THEN ['bad_scene:'] WHEN intent = 'rewrite' AND scene <> 'chat' THEN ['bad_intent:'] WHEN slots = '[]' THEN ['slots_not_object:'] ELSE list_filter([
+  CASE WHEN slots LIKE '%goal%' AND scene <> 'chat' THEN 'unknown_slot:goal' WHEN slots LIKE '%fax%' THEN CASE WHEN scene = 'reading' THEN 'unknown_slot:x' ELSE 'unknown_slot:source,x' END END,
+  CASE WHEN slots LIKE '%fax%' AND scene = 'reading' THEN 'not_allowed:source' END,
+  CASE WHEN c = '' THEN 'no_checks:' WHEN c = 'mood' THEN 'unknown_check:mood' WHEN c = 'slots.goal' AND slots NOT LIKE '%goal%' THEN 'unlabelled:slots.goal' WHEN c = 'need_cloud' AND NOT cloud THEN 'unlabelled:need_cloud' END
+], lambda x: x IS NOT NULL) END AS errors FROM l)
+SELECT event_id, array_to_string(errors, ' ') AS errors FROM e
+""")
+def label_faults(spark, sf_dir):
+    """V5: labels of which required slots may be missing, whose checks must be known and backed."""
+    e = F.col("event_id")
+    at = lambda values, by: picked(values, F.floor(e / by))
+    checks_ = F.filter(F.array(at(LABEL_CHECKS, 7)), lambda c: c != "")
+    rows = table(spark, sf_dir, "events").select("event_id", at(LABEL_SCENES, 1).alias("scene"), at(LABEL_INTENTS, 3).alias("intent"), F.when(e % 2 == 0, F.lit(True)).alias("need_cloud"), at(LABEL_SLOTS, 5).alias("slots"), checks_.alias("checks"))
+    return contract.label_errors(rows).select("event_id", F.array_join("errors", " ").alias("errors"))
+
+
 @query(f"WITH {DECISION_SQL} SELECT CASE WHEN errors[1] = '' THEN '' ELSE split_part(errors[1], ':', 1) END AS kind, count(*) AS n FROM errs WHERE len(errors) > 0 GROUP BY 1")
 def decision_error_kinds(spark, sf_dir):
     """The first violation of each invalid decision."""
-    rows = decision_texts(spark, sf_dir).select("event_id", decisions.decision(F.col("text")).alias("d")).where(~decisions.is_valid(F.col("d")))
+    rows = contract.with_decision(decision_texts(spark, sf_dir), "text").where(~decisions.is_valid(F.col("d")))
     return rows.groupBy(decisions.error_kind(F.get("d.errors", F.lit(0))).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -340,7 +370,7 @@ def decision_error_kinds(spark, sf_dir):
 def training_rules(spark, sf_dir):
     """V8: ids that repeat (two of each twenty) and targets that break the contract."""
     e = F.col("event_id")
-    rows = decision_texts(spark, sf_dir).select((e - F.when(e % 20 == 1, 1).otherwise(0)).cast("string").alias("id"), decisions.decision(F.col("text")).alias("d"))
+    rows = contract.with_decision(decision_texts(spark, sf_dir).select((e - F.when(e % 20 == 1, 1).otherwise(0)).cast("string").alias("id"), "text"), "text")
     return checks.training_violations(rows.select("id", "d.errors"))
 
 

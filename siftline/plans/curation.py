@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.decisions import cell, decision, is_valid
+from siftline.functions.decisions import cell, is_valid
 from siftline.functions.signals import band, difficulty, quality
 from siftline.operators import select
+from siftline.operators.contract import with_decision
 from siftline.operators.dedup import deduplicate
 from siftline.operators.evaluate import label_summary, top_errors
 from siftline.scratch import stored
@@ -33,7 +34,7 @@ def with_signals(rows: DataFrame) -> DataFrame:
     ``rows``: idx, id, scene, intent (of the seed), utterance, label (text), consistency, confidence, agreement
     (nullable), latency_ms.  Invalid rows have difficulty 1 and quality 0.
     """
-    d = rows.withColumn("decision", decision(F.col("label")))
+    d = with_decision(rows, "label", name="decision")
     d = d.withColumn("valid", is_valid(F.col("decision"))).withColumn("errors", F.col("decision.errors"))
     hard = F.when(F.col("valid"), difficulty(F.col("consistency"), F.col("confidence"), F.col("agreement"))).otherwise(1.0)
     d = d.withColumn("difficulty", hard).withColumn("quality", quality(F.col("valid"), F.col("confidence"), F.col("agreement"))).withColumn("band", band(F.col("difficulty")))

@@ -285,7 +285,8 @@ scored AS (SELECT q.item_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 def bm25_top(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("all", F.lit("all"))
     asks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.lit("all").alias("grp"), text.retrieval_tokens(F.coalesce("text", F.lit(""))).alias("terms"))
-    found = retrieval.scores(docs, asks, group="all", doc="doc_id", text=F.col("text")).withColumn("score", F.round("score", 4))
+    posts = retrieval.weighed(docs, asks.select("grp", F.explode("terms").alias("term")), group="all", doc="doc_id", text=F.col("text"))
+    found = retrieval.best_scores(posts, asks, 4).withColumn("score", F.round("score", 4))
     ranked = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "doc"))).where("r <= 4")
     return ranked.select(F.col("q").alias("item_id"), F.col("doc").alias("doc_id"), "score")
 
