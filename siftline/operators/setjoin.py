@@ -13,7 +13,7 @@ Prefix members are the join's keys, with the band of the size: only sets of neig
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +33,11 @@ EPS = 1e-9
 def sketch(text: Column, own_size: int = 3, empty: bool = False) -> Column:
     """struct(grams, bits): a text's distinct 3-character shingles as sorted numbers, and their parity bitmap."""
 
-    @F.pandas_udf("struct<grams:array<bigint>,bits:array<bigint>>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        grams = [shingle_set(t, own_size, empty) for t in batch]
-        return pd.DataFrame({"grams": grams, "bits": [parity(g) for g in grams]})
+    @F.arrow_udf("struct<grams:array<bigint>,bits:array<bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        grams = [shingle_set(t, own_size, empty) for t in texts.to_pylist()]
+        lists = lambda parts: pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *parts]))
+        return pa.StructArray.from_arrays([lists(grams), lists([parity(g) for g in grams])], ["grams", "bits"])
 
     return run(text)
 
@@ -44,8 +45,8 @@ def sketch(text: Column, own_size: int = 3, empty: bool = False) -> Column:
 def parity(g: np.ndarray, words: int = WORDS) -> np.ndarray:
     """A bit is one if an odd number of members falls on it: two sets' bitmaps differ in as many bits as members at most."""
     x = g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    at = (x ^ (x >> np.uint64(32))) % np.uint64(64 * words)
-    odd = np.bincount(at.astype(np.int64), minlength=64 * words) & 1
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    odd = np.bincount(((x >> np.uint64(32)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -60,7 +61,7 @@ def band(n: Column, t: float) -> Column:
 
 
 def prefixes(sets: DataFrame, t: float, counts: DataFrame | None = None) -> DataFrame:
-    """g, i, n, rest, band, b0.. for the prefix of every set (i, grams, bits); ``rest`` counts from this member on.
+    """g, i, n, rest, band, bits for the prefix of every set (i, grams, bits); ``rest`` counts from this member on.
 
     ``counts`` (g, c) orders the members, the rarest first; those of all sets together, if not given.
     """
@@ -68,14 +69,13 @@ def prefixes(sets: DataFrame, t: float, counts: DataFrame | None = None) -> Data
     counts = stored(flat.groupBy("g").agg(F.count("*").alias("c")), "counts") if counts is None else counts
     placed = flat.join(small(counts, 24), "g", "left").withColumn("pos", F.row_number().over(W.partitionBy("i").orderBy(F.col("c").asc_nulls_first(), "g")))
     first = placed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * t - EPS) + 1)
-    bits = sets.select("i", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(WORDS)])
-    return first.join(bits, "i").select("g", "i", "n", (F.col("n") - F.col("pos") + 1).alias("rest"), band(F.col("n"), t).alias("band"), *[f"b{k}" for k in range(WORDS)])
+    return first.join(sets.select("i", "bits"), "i").select("g", "i", "n", (F.col("n") - F.col("pos") + 1).alias("rest"), band(F.col("n"), t).alias("band"), "bits")
 
 
 def fits(t: float) -> Column:
-    """Whether sets x and y may be linked, by sizes, positions and bitmaps."""
+    """Whether sets x and y may be linked, by sizes, positions and, where these leave it open, bitmaps."""
     must = needed(F.col("x.n"), F.col("y.n"), t)
-    differ = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(WORDS)), F.lit(0))
+    differ = sum((F.bit_count(F.get("x.bits", F.lit(k)).bitwiseXOR(F.get("y.bits", F.lit(k)))) for k in range(WORDS)), F.lit(0))
     sizes = F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n") - EPS
     return sizes & (F.least("x.rest", "y.rest") >= must) & (differ <= F.col("x.n") + F.col("y.n") - 2 * must)
 
@@ -83,15 +83,33 @@ def fits(t: float) -> Column:
 def met(left: DataFrame, right: DataFrame, t: float, where: Column) -> DataFrame:
     """Rows x (of ``left``) and y (of ``right``) that share a prefix member and pass all bounds and ``where``.
 
-    y's band is x's, or the next or last one; a key with many rows of ``left`` is dealt over several tasks.
+    y's band is x's, or the next or last one; a key with many rows of ``left`` is dealt over several tasks.  The join is a
+    sorted one: bitmaps repeat, so files are far smaller than rows and their size would call for a broadcast.
     """
-    crowded = left.groupBy("g", "band").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("g", "band", F.ceil(F.col("c") / HOT).cast("int").alias("parts"))
-    crowded = stored(crowded, "crowded")
+    return _meeting(left, right, (-1, 0, 1), where & fits(t))
+
+
+def met_once(rows: DataFrame, t: float, where: Column | None = None) -> DataFrame:
+    """:func:`met` of ``rows`` with themselves, each pair once: y lies in x's band and has a larger i, or in the band below."""
+    once = (F.col("x.band") != F.col("y.own")) | (F.col("x.i") < F.col("y.i"))
+    return _meeting(rows, rows, (0, 1), once & fits(t) if where is None else once & where & fits(t))
+
+
+def crowded_keys(posts: DataFrame) -> DataFrame:
+    """g, band, parts: the keys with more than ``HOT`` sets and how many tasks take them."""
+    return posts.groupBy("g", "band").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("g", "band", F.ceil(F.col("c") / HOT).cast("int").alias("parts"))
+
+
+def _meeting(left: DataFrame, right: DataFrame, steps: tuple[int, ...], where: Column) -> DataFrame:
+    crowded = stored(crowded_keys(left), "crowded")
+    near = right.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(*[F.col("own") + s for s in steps])))
+    same = (F.col("x.g") == F.col("y.g")) & (F.col("x.band") == F.col("y.band"))
+    if crowded.isEmpty():
+        return left.alias("x").join(near.alias("y").hint("merge"), same & where)
     parts = F.coalesce("parts", F.lit(1))
     x = left.join(small(crowded, 24), ["g", "band"], "left").withColumn("part", F.pmod(F.xxhash64("i"), parts)).drop("parts")
-    near = right.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1)))
     y = near.join(small(crowded, 24), ["g", "band"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).drop("parts")
-    return x.alias("x").join(y.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & where & fits(t))
+    return x.alias("x").join(y.alias("y").hint("merge"), same & (F.col("x.part") == F.col("y.part")) & where)
 
 
 def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -106,7 +124,7 @@ def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 def similar_pairs(sets: DataFrame, t: float) -> DataFrame:
     """I < j, jaccard for all pairs of ``sets`` (i, grams, bits; a written table) at or above ``t``."""
     posts = stored(prefixes(sets, t), "prefixes")
-    pairs = met(posts, posts, t, F.col("x.i") < F.col("y.i")).select(F.col("x.i").alias("i"), F.col("y.i").alias("j")).distinct()
+    pairs = met_once(posts, t).select(F.least("x.i", "y.i").alias("i"), F.greatest("x.i", "y.i").alias("j")).distinct()
     return compared(pairs, sets, sets).where(F.col("jaccard") >= t)
 
 
@@ -127,31 +145,35 @@ def similar_across(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
 def similar_components(sets: DataFrame, t: float) -> DataFrame:
     """node, root: the components of all pairs at or above ``t``, roots left out, without making all pairs of a group.
 
-    Every set first meets ``HUBS`` sets of each of its keys.  After that only sets of different components meet, and keys
-    that hold one component are left out, so a large group of near copies costs its hubs alone.  Where a key holds
-    more than ``FAT`` sets of one component, those meet the key's other sets and those of other fat ones, never one another.
+    Every set of a crowded key (more than ``HOT`` sets) first meets ``HUBS`` sets of it.  After that only sets of different
+    components meet, and keys that hold one component are left out, so a large group of near copies costs its hubs alone.
+    Where a key holds more than ``FAT`` sets of one component, those meet the key's other sets and those of other
+    fat ones, never one another.
     """
     spark = sets.sparkSession
     posts = stored(prefixes(sets, t), "prefixes")
-    hubs = posts.withColumn("place", F.row_number().over(W.partitionBy("g", "band").orderBy("i"))).where(F.col("place") <= HUBS).drop("place")
-    links = linked(met(posts, hubs, t, F.col("x.i") != F.col("y.i")), sets, t)
+    crowd = stored(posts.join(small(stored(crowded_keys(posts), "crowded"), 24), ["g", "band"], "left_semi"), "crowd")
+    if crowd.isEmpty():
+        return components(linked(met_once(posts, t), sets, t))
+    hubs = crowd.withColumn("place", F.row_number().over(W.partitionBy("g", "band").orderBy("i"))).where(F.col("place") <= HUBS).drop("place")
+    links = linked(met(crowd, hubs, t, F.col("x.i") != F.col("y.i")), sets, t)
     root = components(links)
     of = stored(posts.join(root, posts.i == root.node, "left").select(*posts.columns, F.coalesce("root", "i").alias("c")), "members")
     several = of.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("g")
     fat = stored(of.groupBy("g", "c").agg(F.count("*").alias("s")).where(F.col("s") > FAT).select("g", "c", F.lit(True).alias("fat")), "fat")
     marked = of.join(several, "g", "left_semi").join(small(fat, 24), ["g", "c"], "left").withColumn("fat", F.coalesce("fat", F.lit(False)))
     open_ = stored(marked, "open")
-    apart = (F.col("x.c") != F.col("y.c")) & (F.col("x.fat") | (F.col("x.i") < F.col("y.i")))
-    more = linked(met(open_, open_.where(~F.col("fat")), t, apart), sets, t)
-    found = links.unionAll(more)
+    apart, lean = F.col("x.c") != F.col("y.c"), open_.where(~F.col("fat"))
+    found = links.unionAll(linked(met_once(lean, t, apart), sets, t))
     if not fat.isEmpty():
+        found = found.unionAll(linked(met(open_.where("fat"), lean, t, apart), sets, t))
         other = fat.select("g", F.col("c").alias("c2"))
         across = fat.join(other, "g").where("c < c2").select("g", "c", "c2")
         x, y = across.join(open_, ["g", "c"]), open_.withColumnRenamed("c", "c2").where("fat")
         both = x.alias("x").join(y.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.c2") == F.col("y.c2")) & fits(t))
         found = found.unionAll(linked(both, sets, t))
     found = components(found)
-    dropped(spark, posts, of, open_, fat)
+    dropped(spark, posts, crowd, of, open_, fat)
     return found
 
 
