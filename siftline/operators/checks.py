@@ -23,7 +23,8 @@ def knowledge_violations(rows: DataFrame) -> DataFrame:
     """V7: id, rule: nine non-blank texts, unique ids, codes, kinds, https sources, dates, one name per city code."""
     fields = ("id", "city_code", "city_name", "kind", "name", "text", "source_title", "source_url", "verified_on")
     filled = reduce(lambda a, b: a & b, [F.coalesce(F.trim(f) != "", F.lit(False)) for f in fields])
-    names = F.size(F.collect_set("city_name").over(W.partitionBy("city_code"))) == 1
+    names = rows.groupBy(F.col("city_code").alias("_code")).agg((F.count_distinct("city_name") == 1).alias("_one"))
+    rows = rows.join(names, F.col("city_code").eqNullSafe(F.col("_code")))
     rules = {
         "fields": filled,
         "unique_id": unique_in("id"),
@@ -31,7 +32,7 @@ def knowledge_violations(rows: DataFrame) -> DataFrame:
         "kind": F.col("kind").isin("food", "sight"),
         "source_url": F.col("source_url").rlike(r"^https://[^/\s?#]+"),
         "verified_on": F.col("verified_on").rlike(r"^\d{4}-\d{2}-\d{2}$"),
-        "one_name": names,
+        "one_name": F.col("_one"),
     }
     return failing(rows, rules, "id")
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.broadcasts import small
 from siftline.operators.ranking import global_rank, interleaved
 from siftline.operators.select import capped, stratified
+from siftline.scratch import stored
 
 
 def expand(specs: DataFrame, vocabulary: DataFrame, *, prefix: str = "scene", placeholders: int = 4) -> DataFrame:
@@ -17,12 +19,12 @@ def expand(specs: DataFrame, vocabulary: DataFrame, *, prefix: str = "scene", pl
     stands; unknown names stay as they are.  The combinations come from one equi-join for each placeholder, the
     first one varying slowest.  Ids number the rows in order of spec, template and combination.
     """
-    words = vocabulary.select("name", "pos", "value")
+    words = stored(vocabulary.select("name", "pos", "value"), "words")
     known = words.select("name").distinct()
     flat = specs.select("*", F.posexplode("templates").alias("template_pos", "text")).drop("templates")
     marks = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\{([A-Za-z0-9_]+)\}"), F.lit(1)))
     named = flat.withColumn("_all", marks)
-    per = named.select("spec_pos", "template_pos", F.posexplode("_all").alias("_i", "name")).join(F.broadcast(known), "name")
+    per = named.select("spec_pos", "template_pos", F.posexplode("_all").alias("_i", "name")).join(small(known, 16), "name")
     ordered = per.groupBy("spec_pos", "template_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "name"))), lambda x: x["name"]).alias("_names"))
     rows = named.drop("_all").join(ordered, ["spec_pos", "template_pos"], "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>")))
     widest = rows.agg(F.max(F.size("_names"))).first()[0] or 0
@@ -32,7 +34,7 @@ def expand(specs: DataFrame, vocabulary: DataFrame, *, prefix: str = "scene", pl
     for i in range(widest):
         w = words.select(F.col("name").alias("_name"), F.col("pos").cast("int").alias("_pos"), F.col("value").alias("_value"))
         name = F.get("_names", F.lit(i))
-        joined = rows.join(F.broadcast(w), name == F.col("_name"), "left")
+        joined = rows.join(small(w, 16), name == F.col("_name"), "left")
         text = F.when(name.isNull(), F.col("text")).otherwise(F.replace("text", F.concat(F.lit("{"), name, F.lit("}")), F.col("_value")))
         rows = joined.withColumn("text", text).withColumn("_combo", F.when(name.isNull(), F.col("_combo")).otherwise(F.concat("_combo", F.array("_pos")))).drop("_name", "_pos", "_value")
     numbered = global_rank(rows, F.col("spec_pos"), F.col("template_pos"), F.col("_combo"), name="seq")
@@ -55,7 +57,7 @@ def generate(specs: DataFrame, vocabulary: DataFrame, *, limit: int | None = Non
 
     sizes = mixed.groupBy(group).agg(F.count("*").cast("double").alias("weight"), F.min("seq").alias("_lead"))
     quota = largest_remainder(sizes, min(limit, mixed.count()), tie=[F.col("_lead")]).select(group, "quota", "_lead")
-    ranked = mixed.join(F.broadcast(quota), group).withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy("seq")))
+    ranked = mixed.join(small(quota, 32), group).withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy("seq")))
     return ranked.where("_r <= quota").orderBy("_lead", "seq").drop("_r", "quota", "_lead")
 
 

@@ -1,7 +1,8 @@
 """Subset selection: quotas by largest remainder, coverage, three-stage allocation, strata.
 
 The greedy loops of coverage and allocation are equal to orders of windowed ranks, so each is a few windows over
-cells or bands and one ordered limit.  Windows that run over all rows are only taken over cells, bands or quotas.
+cells or bands and one ordered limit.  Ranks in cells, bands and strata come from range partitions
+(:func:`ranking.group_rank`), so a group may be of any size; other windows run over cells, bands or quotas only.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.broadcasts import small
 from siftline.functions.text import seeded_order
+from siftline.operators.ranking import group_rank
+from siftline.scratch import dropped, stored
 
 #: Target shares of difficulty bands, share of the budget for coverage, most that a cell may take.
 TARGET_MIX = {"easy": 0.30, "medium": 0.50, "hard": 0.20}
@@ -99,11 +103,30 @@ def random_baseline(df: DataFrame, budget: int, *, trials: int = 200, seed: int
     """One row: the mean objective over random draws of ``budget`` rows, each draw the rows of smallest hash."""
     q = F.greatest(F.lit(0.0), F.coalesce(F.col(quality).cast("double"), F.lit(0.0)))
     slim = df.select(F.col(cell).alias("cell"), q.alias("q"), F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"), F.col(idx).alias("idx"))
-    ranked = slim.withColumn("_r", F.row_number().over(W.partitionBy("trial").orderBy(seeded_order(seed, F.col("trial"), F.col("idx")), "idx")))
+    hashed = slim.withColumn("h", seeded_order(seed, F.col("trial"), F.col("idx")))
+    drawn = smallest_hashes(hashed, trials, budget, df.count())
+    ranked = drawn.withColumn("_r", F.row_number().over(W.partitionBy("trial").orderBy("h", "idx")))
     per = ranked.where(F.col("_r") <= budget).groupBy("trial", "cell").agg(F.sum("q").alias("s"))
     return per.groupBy("trial").agg(F.sum(F.sqrt("s")).alias("f")).agg(F.avg("f").alias("objective"))
 
 
+def smallest_hashes(hashed: DataFrame, trials: int, budget: int, n: int, wide: float = 1.5) -> DataFrame:
+    """Rows (trial, h, …) of which each trial's ``budget`` smallest hashes are surely some; ``n`` rows have a hash in each trial.
+
+    Hashes are even, so those below a share of their range hold about as many rows; the share starts at ``wide`` times
+    the budget and some deviations and doubles until every trial has enough.
+    """
+    share = (wide * budget + 6 * budget**0.5) / max(n, 1)
+    while share < 1:
+        under = stored(hashed.where(F.substring("h", 1, 15) < F.lit(f"{int(share * 16**15):015x}")), "drawn")
+        few = under.groupBy("trial").agg(F.count("*").alias("n")).where(F.col("n") >= min(budget, n)).count()
+        if few == trials:
+            return under
+        dropped(hashed.sparkSession, under)
+        share *= 2
+    return hashed
+
+
 def allocate(df: DataFrame, budget: int, *, target_mix: dict[str, float] = TARGET_MIX, floor_share: float = FLOOR_SHARE, cell_share: float = CELL_SHARE, cell: str = "cell", band: str = "band", quality: str = "quality", idx: str = "idx") -> DataFrame:
     """Picks in three stages, with ``stage`` (floor, mix, quality) and ``pick``.
 
@@ -120,14 +143,15 @@ def allocate(df: DataFrame, budget: int, *, target_mix: dict[str, float] = TARGE
     floor = max(1, int(budget * floor_share) // cells) if cells and int(budget * floor_share) > 0 else 0
     spark = df.sparkSession
     quota = largest_remainder(spark.createDataFrame([(b, w, i) for i, (b, w) in enumerate(target_mix.items())], "b string, weight double, i int"), budget, tie=[F.col("i")]).select(F.col("b").alias(band), F.col("quota").alias("_target"))
-    by = W.partitionBy(cell).orderBy(F.desc(q), idx)
-    rows = df.withColumn("_c", F.row_number().over(by)).withColumn("_lead", F.min(idx).over(W.partitionBy(cell))).where(F.col("_c") <= cap)
+    leads = df.groupBy(F.col(cell).alias("_of")).agg(F.min(idx).alias("_lead"))
+    capped_ = group_rank(df, [cell], F.desc(q), F.col(idx), name="_c").where(F.col("_c") <= cap)
+    rows = stored(capped_.join(small(leads, 64), F.col(cell).eqNullSafe(F.col("_of"))).drop("_of"), "capped")
     one = rows.where(F.col("_c") <= min(floor, cap)).orderBy("_lead", "_c").limit(budget)
     one = one.withColumn("stage", F.lit("floor")).withColumn("_o1", F.col("_lead").cast("double")).withColumn("_o2", F.col("_c").cast("double"))
     left = budget - one.count()
     rest = rows.join(one.select(idx), idx, "left_anti")
     have = one.groupBy(band).agg(F.count("*").alias("_have"))
-    lacks = rest.join(F.broadcast(quota), band).join(F.broadcast(have), band, "left").withColumn("_k", F.row_number().over(W.partitionBy(band).orderBy(F.desc(q), idx)))
+    lacks = group_rank(rest, [band], F.desc(q), F.col(idx), name="_k").join(F.broadcast(quota), band).join(F.broadcast(have), band, "left")  # a row for each band
     lacks = lacks.withColumn("_level", F.col("_target") - F.coalesce("_have", F.lit(0)) - F.col("_k") + 1).where("_level > 0")
     first_of_band = df.groupBy(band).agg(F.min(idx).alias("_band"))
     two = lacks.join(F.broadcast(first_of_band), band).orderBy(F.desc("_level"), "_band", "_k").limit(left)
@@ -160,8 +184,8 @@ def stratified(df: DataFrame, total: int, keys: list[str], *, seed: int = 42, id
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
     shares = sizes.withColumn("weight", F.col("_size").cast("double")) if weights is None else weights
     quotas = largest_remainder(shares, total, tie=tie or [F.col(k) for k in keys]).select(*keys, "quota")
-    order = W.partitionBy(*keys).orderBy(seeded_order(seed, F.col(idx)), idx)
-    ranked = df.withColumn("rank", F.row_number().over(order)).join(F.broadcast(quotas), keys, "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
+    placed = group_rank(df, keys, seeded_order(seed, F.col(idx)), F.col(idx), name="rank")
+    ranked = placed.join(small(stored(quotas, "quotas"), 64), keys, "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
     drawn = ranked.where("rank <= quota").drop("quota")
     if not refill:
         return drawn
@@ -172,8 +196,8 @@ def stratified(df: DataFrame, total: int, keys: list[str], *, seed: int = 42, id
 
 def capped(df: DataFrame, *, group: str, cap: str, seed: int = 20260921, idx: str = "idx") -> DataFrame:
     """At most ``cap`` (a column, null for no limit) rows of each group, in seeded random order."""
-    order = W.partitionBy(group).orderBy(seeded_order(seed, F.col(idx)), idx)
-    return df.withColumn("_r", F.row_number().over(order)).where(F.col(cap).isNull() | (F.col("_r") <= F.col(cap))).drop("_r")
+    ranked = group_rank(df, [group], seeded_order(seed, F.col(idx)), F.col(idx), name="_r")
+    return ranked.where(F.col(cap).isNull() | (F.col("_r") <= F.col(cap))).drop("_r")
 
 
 def top_up(picked: DataFrame, spare: DataFrame, size: int, *, idx: str = "idx") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import decisions, records, signals, text
-from siftline.operators import checks, contract, evaluate, expand, retrieval, select, traces
+from siftline.operators import checks, contract, evaluate, expand, ranking, retrieval, select, traces
 from siftline.plans.queries import COVER_SQL, pool, query
 from siftline.scratch import new_path
 from siftline.session import table
@@ -32,10 +32,10 @@ SELECT user_id, round(p, 6) AS p10, round(m, 6) AS mean, round(exp(p), 4) AS con
 """)
 def logprob_signals(spark, sf_dir):
     """A10, A11, X17."""
-    rows = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.collect_list(-F.abs("value") / 1000.0).alias("x"))
-    p10, mean = signals.interpolated(F.col("x"), 0.1), signals.mean_logprob(F.col("x"))
-    adjusted = signals.length_adjusted_confidence(mean, F.size("x"))
-    return rows.select("user_id", F.round(p10, 6).alias("p10"), F.round(mean, 6).alias("mean"), signals.confidence(F.col("x")).alias("confidence"), F.round(adjusted, 6).alias("adjusted"))
+    probs = table(spark, sf_dir, "events").select("user_id", (-F.abs("value") / 1000.0).alias("x"))
+    rows = ranking.group_percentiles(probs, ["user_id"], "x", 0.1)
+    adjusted = signals.length_adjusted_confidence(F.col("mean"), F.col("n"))
+    return rows.select("user_id", F.round("at", 6).alias("p10"), F.round("mean", 6).alias("mean"), F.round(F.exp("at"), 4).alias("confidence"), F.round(adjusted, 6).alias("adjusted"))
 
 
 STATUSES = (None, 200, 204, 299, 400, 401, 403, 404, 413, 418, 422, 429, 500, 501, 502, 503, 504, 599)
@@ -247,11 +247,15 @@ def numbered_documents(spark, sf_dir):
     return files.numbered(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc", F.desc("n_chars"), F.col("doc_id"), width=5).select("doc_id", "id")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, (SELECT string_agg(l || '=' || n, ',' ORDER BY l) FROM (SELECT lang AS l, count(*) AS n FROM documents GROUP BY lang)) AS langs FROM documents")
+@query("""
+WITH f AS (SELECT md5(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(text) || ':' || text, '-')) AS m FROM documents)
+SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, (SELECT string_agg(l || '=' || n, ',' ORDER BY l) FROM (SELECT lang AS l, count(*) AS n FROM documents GROUP BY lang)) AS langs,
+  (SELECT CAST(sum(CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(m, 16, 15) AS BIGINT)) AS VARCHAR) FROM f) AS digest FROM documents
+""")
 def document_manifest(spark, sf_dir):
-    """K10, without its digest, which no other engine forms."""
-    made = files.manifest(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
-    return made.select("rows", "ids", F.array_join(F.transform(F.map_entries("histogram"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("langs"))
+    """K10."""
+    made = files.manifest(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "lang", "doc_id")
+    return made.select("rows", "ids", F.array_join(F.transform(F.map_entries("histogram"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("langs"), "digest")
 
 
 @query("SELECT e.event_id FROM events e WHERE event_type IN (SELECT event_type FROM events GROUP BY event_type HAVING event_type < 'm')")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from siftline.functions import decisions, records, signals, text
 from siftline.operators import checks, dedup, evaluate, expand, overlap, ranking, retrieval, select, traces
-from siftline.plans.fixtures import kb_rows, prediction_rows, question_rows, seed_specs, seed_words
 from siftline.session import table
 from siftline.sources import files
 from siftline.streaming import machines
@@ -267,8 +266,8 @@ def label_signals(spark, sf_dir):
 
 @query("SELECT user_id, event_type, count(*) AS n, round(quantile_cont(value, 0.1), 6) AS p10, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def percentile_events(spark, sf_dir):
-    values = table(spark, sf_dir, "events").groupBy("user_id", "event_type")
-    return values.agg(F.count("*").alias("n"), F.round(signals.interpolated(F.collect_list("value"), 0.1), 6).alias("p10"), F.round(F.avg("value"), 6).alias("mean"))
+    found = ranking.group_percentiles(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", 0.1)
+    return found.select("user_id", "event_type", "n", F.round("at", 6).alias("p10"), F.round("mean", 6).alias("mean"))
 
 
 BM25_SQL = r"""
@@ -442,11 +441,6 @@ def shingle_counts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", norm.alias("norm")).select("item_id", F.char_length("norm").cast("long").alias("n"), F.size(text.shingles(F.col("norm"))).cast("long").alias("grams"))
 
 
-@query("SELECT s AS similarity, round(1 - pow(1 - pow(s, 4), 32), 9) AS hit FROM (SELECT range / 20.0 AS s FROM range(0, 21))")
-def lsh_curve(spark, sf_dir):
-    return spark.range(0, 21).select((F.col("id") / 20.0).alias("similarity")).withColumn("hit", F.round(text.lsh_hit_probability(F.col("similarity"), 4, 32), 9))
-
-
 def event_keys(spark, sf_dir):
     t = F.col("ts").cast("timestamp")
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (F.unix_micros(t) / 1e6).alias("ts_seconds"), F.unix_millis(t).alias("ts_ms"))
@@ -464,9 +458,19 @@ def place_change_replay(spark, sf_dir):
     return machines.place_changes(rows, order=["ts_ms", "event_id"])
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id % 20 AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events),
+passed AS (
+  SELECT k, n, t FROM e WHERE n = 1
+  UNION ALL
+  SELECT p.k, x.n, x.t FROM passed p, LATERAL (SELECT n, t FROM e WHERE e.k = p.k AND e.t >= p.t + 7200000000 ORDER BY e.n LIMIT 1) x
+)
+SELECT e.event_id, e.k AS key, p.n IS NOT NULL AS passed FROM e LEFT JOIN passed p ON p.k = e.k AND p.n = e.n
+""")
 def throttle_replay(spark, sf_dir):
-    return machines.throttled(event_keys(spark, sf_dir).select("event_id", F.col("user_id").alias("key"), "ts_seconds"), seq="event_id", gap=7200)
+    """ST3: twenty keys, so that each has many events."""
+    rows = event_keys(spark, sf_dir).select("event_id", F.pmod("user_id", F.lit(20)).alias("key"), "ts_seconds")
+    return machines.throttled(rows, seq="event_id", gap=7200).select("event_id", "key", "passed")
 
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -491,71 +495,6 @@ def latest_sessions(spark, sf_dir):
     return traces.current_sessions(rows).select("user_id", "event_id")
 
 
-@query("SELECT 150 AS total, 147 AS contract_valid, 0.98 AS contract_valid_rate, 0.9932 AS scene_accuracy, 0.9932 AS intent_accuracy, 1.0 AS need_cloud_accuracy, 0.0 AS complexity_mae, 1.0 AS slot_precision, 0.9733 AS slot_recall, 0.9865 AS slot_f1, 0.9932 AS slot_field_accuracy")
-def eval_lenient(spark, sf_dir):
-    return evaluate.lenient(evaluate.judged(*prediction_rows(spark)))
-
-
-@query("SELECT * FROM (VALUES ('ask', 74, 75, 0.9867, 0.9, true), ('idle', 71, 75, 0.9467, 0.95, false)) v(family, correct, total, rate, target, passed)")
-def eval_strict(spark, sf_dir):
-    rows = evaluate.strict_rows(evaluate.judged(*prediction_rows(spark), mode="strict"), ("scene", "intent", "slots.goal"))
-    return evaluate.strict_families(rows, ("idle",))
-
-
-@query("SELECT * FROM (VALUES ('unparsed', 1), ('missing_slot', 1), ('bad_scene', 1)) v(kind, n)")
-def eval_failures(spark, sf_dir):
-    return evaluate.failure_kinds(evaluate.judged(*prediction_rows(spark)))
-
-
-@query("SELECT * FROM (VALUES ('scene', 145, 150, 0.9667), ('intent', 145, 150, 0.9667), ('need_cloud', 146, 150, 0.9733), ('labeled_slots', 290, 300, 0.9667)) v(field, correct, total, rate)")
-def eval_strict_fields(spark, sf_dir):
-    rows = evaluate.strict_rows(evaluate.judged(*prediction_rows(spark), mode="strict"), ("scene", "intent", "slots.goal"))
-    return evaluate.strict_fields(rows)
-
-
-@query("SELECT * FROM (VALUES ('q1', 'retrieval', true, NULL, 'f1,f2'), ('q2', 'retrieval', true, NULL, 's1'), ('q3', 'insufficient', false, 'live', ''), ('q4', 'insufficient', false, 'unknown_city', ''), ('q5', 'insufficient', false, 'no_hit', ''), ('q6', 'rag', true, NULL, 's1'), ('q7', 'insufficient', false, 'not_enough', ''), ('q8', 'retrieval', true, NULL, 's1')) v(q, mode, grounded, reason, citations)")
-def kb_answers(spark, sf_dir):
-    kb = spark.createDataFrame(*kb_rows())
-    questions, chosen = question_rows(spark)
-    return retrieval.answers(kb, questions, chosen).select("q", "mode", "grounded", "reason", F.array_join("citations", ",").alias("citations"))
-
-
-@query("SELECT * FROM (VALUES ('370000', '甲市', '面,饼', '塔', 2, '2024-05-01'), ('420000', '乙市', '鱼', '', 1, '2024-02-01')) v(city_code, city_name, foods, sights, sources, updated_on)")
-def kb_guides(spark, sf_dir):
-    g = retrieval.guides(spark.createDataFrame(*kb_rows()))
-    return g.select("city_code", "city_name", F.array_join("foods", ",").alias("foods"), F.array_join("sights", ",").alias("sights"), F.size("sources").alias("sources"), "updated_on")
-
-
-@query("SELECT id, rule FROM (VALUES ('x', 'y')) v(id, rule) WHERE false")
-def kb_violations(spark, sf_dir):
-    return checks.knowledge_violations(spark.createDataFrame(*kb_rows()))
-
-
-@query("SELECT * FROM (VALUES ('scene_0001', 1, 'red a and red'), ('scene_0002', 2, 'blue a and blue'), ('scene_0003', 3, 'red x'), ('scene_0004', 4, 'red y'), ('scene_0005', 5, 'blue x'), ('scene_0006', 6, 'blue y'), ('scene_0007', 7, 'plain {other}')) v(id, seq, text)")
-def template_expansion(spark, sf_dir):
-    return expand.expand(seed_specs(spark), seed_words(spark)).select("id", "seq", "text")
-
-
-@query("SELECT * FROM (VALUES ('fenced', true), ('prose', true), ('comma', true), ('braces', true), ('text', false), ('tail', true)) v(name, parsed)")
-def json_salvage(spark, sf_dir):
-    rows = [("fenced", "```json\n{\"a\": 1}\n```"), ("prose", 'sure: {"a": 1} ok'), ("comma", '{"a": [1, 2,],}'), ("braces", '{"a": "}{"} x'), ("text", "no object"), ("tail", '{"a": {"b": 1}} {"c"')]
-    return spark.createDataFrame(rows, "name string, t string").select("name", decisions.decision(F.col("t"))["parsed"].alias("parsed"))
-
-
-@query("SELECT * FROM (VALUES ('北京市', '110000'), ('仙桃市', '429004'), ('武汉市', '420100')) v(name, code)")
-def place_codes(spark, sf_dir):
-    rows = [("北京市", "[]", "110108", "海淀区"), ("湖北省", "[]", "429004", "仙桃市"), ("湖北省", "武汉市", "420106", "武昌区")]
-    df = spark.createDataFrame(rows, "p string, c string, a string, d string")
-    return df.select(records.city_code(F.col("p"), F.col("c"), F.col("a"), F.col("d")).alias("x")).select("x.name", "x.code")
-
-
-@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS extra")
-def id_differences(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    sides = docs.exceptAll(labels).select(F.lit(1).alias("m"), F.lit(0).alias("x")).unionAll(labels.exceptAll(docs).select(F.lit(0), F.lit(1)))
-    return sides.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("missing"), F.coalesce(F.sum("x"), F.lit(0)).alias("extra"))
-
-
 @query("SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) = 1")
 def first_orders(spark, sf_dir):
     return ranking.first_per(table(spark, sf_dir, "orders"), ["o_orderpriority"], F.col("o_orderdate"), F.col("o_orderkey")).select("o_orderpriority", "o_orderkey")

@@ -40,11 +40,16 @@ def last_predictions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by(text, "line_no").alias("text"))
 
 
-def strict_predictions(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The predictions, if their ids are exactly ``ids``, once each; else an error that counts the cases."""
+def id_differences(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: ids of ``rows`` that are repeated, ids of ``ids`` that are missing there, ids that nobody asked for."""
     counts = rows.groupBy("id").agg(F.count("*").alias("n"))
     both = counts.withColumn("here", F.lit(1)).join(ids.select("id").distinct().withColumn("asked", F.lit(1)), "id", "full")
-    bad = both.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("here").isNull()), F.count_if(F.col("asked").isNull())).first()
+    return both.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("here").isNull()).alias("missing"), F.count_if(F.col("asked").isNull()).alias("extra"))
+
+
+def strict_predictions(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The predictions, if their ids are exactly ``ids``, once each; else an error that counts the cases."""
+    bad = id_differences(rows, ids).first()
     if any(bad):
         raise ValueError(f"predictions: {bad[0]} ids repeated, {bad[1]} missing, {bad[2]} extra")
     return rows.select("id", F.coalesce("text", F.lit("")).alias("text"))
@@ -108,11 +113,22 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.select(*cells).write.mode("errorifexists").csv(path, sep="\t", header=True, quote="", emptyValue="")
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two 60-bit numbers of each row: halves of the MD5 of its fields, each with its length in front, null as ``-``."""
+    fields = [F.coalesce(F.concat(F.octet_length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns]
+    whole = F.md5(F.concat(*fields).cast("binary"))
+    return [F.conv(F.substring(whole, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+
+
 def manifest(df: DataFrame, group: str, id_col: str = "id") -> DataFrame:
-    """One row: rows, distinct ids, histogram of a column, and a digest that no order of rows changes."""
+    """One row: rows, distinct ids, histogram of a column, and a digest that no order of rows changes.
+
+    The digest is the sums of two numbers of every row, so parts of a table can be digested apart and added, and a repeated
+    row counts twice.
+    """
     counts = df.groupBy(group).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(group).cast("string"), F.lit("")), "count")))).alias("histogram"))
-    row = F.xxhash64(*[F.col(c) for c in df.columns])
-    whole = df.agg(F.count("*").alias("rows"), F.count_distinct(id_col).alias("ids"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("digest"))
+    halves = [F.coalesce(F.sum(x), F.lit(0)).cast("string") for x in row_digest(df)]
+    whole = df.agg(F.count("*").alias("rows"), F.count_distinct(id_col).alias("ids"), F.concat_ws(":", *halves).alias("digest"))
     one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  both sides are a single row
     return one(whole).join(one(counts), "_one").drop("_one")
 

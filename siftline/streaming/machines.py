@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from siftline.streaming.chains import passes
+
 
 class RateLimiter:
     """ST1: accepts an event if fewer than ``per_minute`` and ``per_day`` were accepted in the 60 s and 86 400 s before.
@@ -202,9 +204,11 @@ def place_changes(df: DataFrame, *, key: str = "session", place: str = "city_cod
 
 
 def throttled(df: DataFrame, *, key: str = "key", ts: str = "ts_seconds", seq: str | None = None, gap: float = 120, streaming: bool = False, idle_ms: int | None = None) -> DataFrame:
-    """ST3 over ``df``."""
+    """ST3 over ``df``; the batch form spreads a key over many tasks (:func:`chains.passes`)."""
 
     def make(state=None):
         return Throttle(gap, state)
 
-    return stream(df, key, make, [ts], [ts] + ([seq] if seq else []), idle_ms) if streaming else replay(df, key, make, [ts], [ts] + ([seq] if seq else []))
+    if streaming:
+        return stream(df, key, make, [ts], [ts] + ([seq] if seq else []), idle_ms)
+    return passes(df, key=key, ts=ts, order=[seq] if seq else [], gap=gap)

@@ -16,10 +16,10 @@ def test_entry(spark):
     assert df.columns == ["idx", "component", "representative", "kept", "jaccard"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["dedup_documents", "coverage_select", "allocate_mix", "overlap_near_capped", "kb_answers", "eval_lenient", "eval_strict", "template_expansion"])
+@pytest.mark.parametrize("name", ["dedup_documents", "coverage_select", "allocate_mix", "overlap_near_capped", "kb_answers", "kb_violations", "eval_lenient", "eval_strict", "template_expansion", "throttle_replay", "bounded_event_log", "document_manifest"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "orders", "events"):
+    for t in ("documents", "benchmark", "labels", "orders", "events", "region", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -1,7 +1,7 @@
 import random
 
 from siftline.streaming import machines
-from siftline.streaming.logs import append_log, log_view, replayed
+from siftline.streaming.logs import append_log, bounded_log, committed, log_view, read_bounded, replayed
 
 
 def accepted(times, minute, day):
@@ -72,3 +72,27 @@ def test_log(spark, tmp_path):
     spark.createDataFrame([(i, i // 2) for i in range(10)], "seq long, ts long").write.parquet(src)
     append_log(replayed(spark, src, "seq long, ts long"), log, str(tmp_path / "cp")).awaitTermination(60)
     assert [r.seq for r in log_view(spark, log, 3).collect()] == [9, 8, 7]
+
+
+def test_bounded_log_never_holds_more(spark, tmp_path):
+    src, log, state = str(tmp_path / "src"), str(tmp_path / "log"), str(tmp_path / "state")
+    kind = "seq long, ts long"
+    for b in range(4):
+        spark.createDataFrame([(10 * b + i, b) for i in range(10)], kind).coalesce(1).write.mode("append").parquet(src)
+    bounded_log(replayed(spark, src, kind), log, state, 15).awaitTermination(120)
+    assert committed(spark, log) == 3
+    assert sorted(r.seq for r in read_bounded(spark, log).collect()) == list(range(25, 40))
+    kept = sorted(p.name for p in (tmp_path / "log").iterdir() if p.name.startswith("generation-"))
+    assert kept == ["generation-2", "generation-3"]  # the last one and the one before, for readers under way
+    assert all(spark.read.parquet(f"{log}/{g}").count() <= 15 for g in kept)
+    spark.createDataFrame([(100, 9)], kind).write.mode("append").parquet(src)
+    bounded_log(replayed(spark, src, kind), log, state, 15).awaitTermination(120)
+    assert sorted(r.seq for r in read_bounded(spark, log).collect()) == [*range(26, 40), 100]
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    src, log, kind = str(tmp_path / "src"), str(tmp_path / "log"), "seq long, ts long"
+    spark.createDataFrame([(i, i) for i in range(10)], kind).coalesce(1).write.parquet(src)
+    for state in ("one", "two"):  # a new state plays batch 0 again
+        bounded_log(replayed(spark, src, kind), log, str(tmp_path / state), 8).awaitTermination(120)
+    assert sorted(r.seq for r in read_bounded(spark, log).collect()) == list(range(2, 10))
