@@ -39,7 +39,7 @@ SEEN, SURE, LIFT = 3, 3.0, 2.0
 #: Lengths of stems, and characters of a text that are split into words at once.
 STEMS, AT_ONCE = range(3, 9), 1 << 20
 #: Steps of the label model and of the classifier; its L2 weight.
-MODEL_STEPS, FIT_STEPS, RIDGE = 12, 40, 1e-5
+MODEL_STEPS, FIT_STEPS, RIDGE = 8, 25, 1e-5
 #: Toxic styles of the label model; log odds of a training label; units in which posteriors and gradients are summed.
 STYLES, GOLD, UNITS = 8, float(np.log(99)), 1 << 20
 #: Words that a task gathers before their counts leave; sums that move in one row.
@@ -405,14 +405,14 @@ def classifier(rows: DataFrame, size: int) -> np.ndarray:
     def curvature(f, y):
         n = f.value_lengths().to_numpy(zero_copy_only=False)
         idx = f.flatten().to_numpy(zero_copy_only=False)
-        out = np.bincount(idx, weights=np.repeat(n + 1, n), minlength=size + 2)
-        out[size], out[size + 1] = (n + 1).sum(), len(n)
-        return out.astype(np.int64)
-
-    bound = gathered(rows, curvature, ["f", "y"], size + 2)
-    count, w = max(int(bound[-1]), 1), np.zeros(size + 1)
-    rate = 1 / (bound[:-1] / (4 * count) + RIDGE)
-    total = gathered(rows, lambda y: np.array([y.to_numpy(zero_copy_only=False).sum()]), ["y"], 1)[0] / UNITS
+        out = np.zeros(size + 3, np.int64)
+        out[:size] = np.bincount(idx, weights=np.repeat(n + 1, n), minlength=size)
+        out[size:] = (n + 1).sum(), len(n), y.to_numpy(zero_copy_only=False).sum()
+        return out
+
+    bound = gathered(rows, curvature, ["f", "y"], size + 3)
+    count, total, w = max(int(bound[size + 1]), 1), bound[size + 2] / UNITS, np.zeros(size + 1)
+    rate = 1 / (bound[: size + 1] / (4 * count) + RIDGE)
     w[-1] = np.log((total + 1) / (count - total + 1))
     ahead, t = w.copy(), 1.0
     for _ in range(FIT_STEPS):
