@@ -1,11 +1,9 @@
-"""Small tables that the queries build themselves where the driver's tables have no counterpart."""
+"""Small tables for the tests."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
-
 KB_SCHEMA = "pos long, id string, city_code string, city_name string, kind string, name string, text string, source_title string, source_url string, verified_on string"
 
 
@@ -19,53 +17,6 @@ def kb_rows():
     ], KB_SCHEMA
 
 
-def question_rows(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """q, city_code, question; and what a model chose: q, ids."""
-    asked = [
-        ("q1", "370000", "甲市有哪些美食"),
-        ("q2", "370000", "古塔"),
-        ("q3", "370000", "塔今天营业吗"),
-        ("q4", "999999", "有什么美食"),
-        ("q5", "370000", "市长是谁"),
-        ("q6", "370000", "古塔在哪"),
-        ("q7", "370000", "古塔高"),
-        ("q8", "370000", "古塔"),
-    ]
-    chosen = [("q6", ["s1", "s1"]), ("q7", []), ("q8", ["f3"])]
-    return spark.createDataFrame(asked, "q string, city_code string, question string"), spark.createDataFrame(chosen, "q string, ids array<string>")
-
-
 def decision_text(scene: str = "chat", goal: str = "拒绝", **more) -> str:
     value = {"scene": scene, "intent": "rewrite" if scene == "chat" else "none", "complexity": 0.5, "confidence": 0.9, "need_cloud": False, "slots": {"target_tone": "自然", "goal": goal} if scene == "chat" else {}}
     return json.dumps(value | more, ensure_ascii=False)
-
-
-def prediction_rows(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """150 gold rows of two families and their predictions, some wrong in known ways."""
-    gold, predictions = [], []
-    for i in range(150):
-        family = "ask" if i % 2 else "idle"
-        gold.append((f"r{i:03d}", family, decision_text(), ["scene", "intent", "slots.goal"] if i % 2 else ["scene"]))
-        text = decision_text()
-        if i == 1:
-            text = "Here it is: " + text  # text around: fails the strict form only
-        elif i == 2:
-            text = "nothing"
-        elif i == 4:
-            text = decision_text(slots={"goal": "拒绝"})
-        elif i == 6:
-            text = decision_text(scene="weather")
-        elif i == 8:
-            text = decision_text(scene="none")
-        predictions.append((f"r{i:03d}", text))
-    return spark.createDataFrame(gold, "id string, family string, expected string, checks array<string>"), spark.createDataFrame(predictions, "id string, text string")
-
-
-def seed_specs(spark: SparkSession) -> DataFrame:
-    rows = [(0, "one", 5, ["{colour} a and {colour}", "{colour} {letter}"]), (1, "two", None, ["plain {other}"])]
-    return spark.createDataFrame(rows, "spec_pos int, scene string, cap int, templates array<string>")
-
-
-def seed_words(spark: SparkSession) -> DataFrame:
-    rows = [("colour", 0, "red"), ("colour", 1, "blue"), ("letter", 0, "x"), ("letter", 1, "y")]
-    return spark.createDataFrame(rows, "name string, pos int, value string")
