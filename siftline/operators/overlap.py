@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -119,12 +119,22 @@ def batch_best(batch: pa.RecordBatch, ids: list[str], sizes: np.ndarray, known:
         yield from ((name, f[2] if f[1] else None, *f[3:]) for f in found)
 
 
+def three_places(x: Column) -> Column:
+    """A number with three places as C and Python write it: by its exact value, ties to even; the JVM rounds its shortest digits."""
+
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.3f}" for v in values.to_pylist()], pa.string())
+
+    return run(x)
+
+
 def overlap_report(probes: DataFrame, references: DataFrame, **options) -> DataFrame:
     """K9: kind (EXACT, NEAR), id, ref, score as text with three places; probes with an exact match are not scored again."""
     exact = exact_matches(probes, references).select(F.lit("EXACT").alias("kind"), "id", "ref", F.lit(1.0).alias("score"))
     rest = probes.join(exact.select("id").distinct(), "id", "left_anti")
     near = near_matches(rest, references, **options).select(F.lit("NEAR").alias("kind"), "id", "ref", F.col("jaccard").alias("score"))
-    return exact.unionAll(near).withColumn("score", F.format_string("%.3f", "score"))
+    return exact.unionAll(near).withColumn("score", three_places(F.col("score")))
 
 
 def tagged_union(**sets: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.operators import overlap
 
@@ -11,6 +12,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_scores_are_written_by_their_exact_value(spark):
+    rows = spark.createDataFrame([(17 / 80,), (5 / 16,), (1.0,), (None,)], "x double")
+    assert [r[0] for r in rows.select(overlap.three_places(F.col("x"))).collect()] == ["0.212", "0.312", "1.000", None]
+
+
 @pytest.mark.parametrize("cap, t", [(None, 0.2), (None, 0.78), (3, 0.05)])
 def test_few_probes_meet_references_without_a_shuffle(spark, cap, t):
     words = ["abcdefghij", "abcdefghzz", "klmnopqrst", "klmnopqxyz", "ab", "", None, "abcdefghijklmnop"]
