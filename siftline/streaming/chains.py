@@ -2,9 +2,10 @@
 
 Which event follows an event, if it passes, depends on the two times only.  So every event gets a pointer to the first one
 at least ``gap`` later, found by merging events and the times they wait for in one range-partitioned order; and the events
-that pass are those which the pointers reach from the first event of each key.  Pointers double: after k rounds the first
-2 ** k events of every chain are known, and a pointer leads 2 ** k events on.  A key with any number of events takes as many
-rounds as its chain's length has binary digits, each a join over many tasks.
+that pass are those which the pointers reach from the first event of each key.  Pointers double on the way up, each time
+only those of events that the last ones lead to, which are ever fewer as chains run together; on the way down each event
+that is known to pass names the one half as far on.  A key with any number of events takes as many rounds as its chain's
+length has binary digits, each a join over many tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.broadcasts import small
-from siftline.operators.ranking import group_rank
 from siftline.scratch import dropped, stored
 
 
@@ -25,7 +25,8 @@ def next_events(events: DataFrame, gap: int) -> DataFrame:
     order = [F.col("key").asc_nulls_first(), "at", "kind", "event"]
     merged = stored(own.unionAll(waits).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "merged")
     placed = merged.withColumn("part", F.shiftright("_at", 33))
-    after = W.partitionBy("part", "key").orderBy("_at").rowsBetween(W.currentRow, W.unboundedFollowing)
+    # backwards: a frame that ends with its partition is added up anew for every row
+    after = W.partitionBy("part", "key").orderBy(F.desc("_at")).rowsBetween(W.unboundedPreceding, W.currentRow)
     here = placed.withColumn("nxt", F.min("event").over(after))
     # where a partition has no event after, the first one of the key in a later partition is next: a row for each part
     heads = placed.groupBy("key", "part").agg(F.min("event").alias("head"))
@@ -36,14 +37,21 @@ def next_events(events: DataFrame, gap: int) -> DataFrame:
 
 
 def reached(jumps: DataFrame, heads: DataFrame) -> DataFrame:
-    """x: what ``jumps`` (x, y) lead to from ``heads`` (x), those included."""
-    spark, jump, found = jumps.sparkSession, stored(jumps, "jumps"), stored(heads, "reached")
-    while not jump.isEmpty():
-        more = found.join(jump, "x").select(F.col("y").alias("x"))
-        grown = stored(found.unionAll(more), "reached")
-        onward = stored(jump.join(jump.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")), "jumps")
-        dropped(spark, jump, found)
-        jump, found = onward, grown
+    """x: what ``jumps`` (x, y) lead to from ``heads`` (x), those included; a jump never leads back."""
+    levels, heads = [stored(jumps, "jumps")], stored(heads, "heads")
+    while True:
+        last = levels[-1]
+        entered = last.select(F.col("y").alias("x")).unionAll(heads).distinct()
+        onward = last.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        twice = stored(last.join(entered, "x", "left_semi").join(onward, "y").select("x", F.col("z").alias("y")), "jumps")
+        if twice.isEmpty():
+            break
+        levels.append(twice)
+    found = heads
+    for level in reversed(levels):
+        found = found.join(level, "x", "left").select(F.explode(F.array_compact(F.array("x", "y"))).alias("x"))
+    found = stored(found, "reached")
+    dropped(jumps.sparkSession, *levels, twice, heads)
     return found
 
 
@@ -56,11 +64,11 @@ def passes(df: DataFrame, *, key: str, ts: str, order: list[str], gap: float) ->
     if gap <= 0:
         return df.withColumn("passed", F.lit(True))
     micros = F.round(F.col(ts) * 1_000_000).cast("long")
-    ranked = stored(group_rank(df.withColumn("_t", micros), [key], *(F.col(c) for c in ("_t", *order)), name="_n"), "ranked")
-    events = ranked.select(F.col(key).alias("key"), F.col("_n").alias("n"), F.col("_t").alias("t"))
-    name = lambda n: F.struct(F.col("key").isNull().alias("v"), "key", F.col(n).alias("n"))  # noqa: E731  nulls inside of a struct are equal
-    jumps = next_events(events, round(gap * 1_000_000)).select(name("n").alias("x"), name("nxt").alias("y"))
-    found = reached(jumps, events.where("n = 1").select(name("n").alias("x")))
-    hit = found.select(F.col("x.key").alias("_k"), F.col("x.n").alias("_i"), F.lit(True).alias("_hit"))
-    same = ranked[key].eqNullSafe(F.col("_k")) & (F.col("_n") == F.col("_i"))
-    return ranked.join(hit, same, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_hit", F.lit(False)).alias("passed"))
+    by = [F.col(key).asc_nulls_first(), *(F.col(c) for c in ("_t", *order))]
+    ranked = stored(df.withColumn("_t", micros).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_n", F.monotonically_increasing_id()), "ranked")
+    # of equal times the first event alone can pass
+    events = stored(ranked.groupBy(F.col(key).alias("key"), F.col("_t").alias("t")).agg(F.min("_n").alias("n")), "events")
+    jumps = next_events(events, round(gap * 1_000_000)).select(F.col("n").alias("x"), F.col("nxt").alias("y"))
+    found = reached(jumps, events.groupBy("key").agg(F.min("n").alias("x")).select("x"))
+    hit = found.select(F.col("x").alias("_n"), F.lit(True).alias("_hit"))
+    return ranked.join(hit, "_n", "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_hit", F.lit(False)).alias("passed"))
