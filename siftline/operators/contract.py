@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.decisions import DECISION, FIELDS, INTENTS, MOST_ITEMS, MOST_REASON, MOST_TOPIC, SLOTS, decision
+from siftline.scratch import stored
 
 RULES = "scene string, intents array<string>, slots array<struct<name:string,kind:string,required:boolean,allowed:array<string>>>"
 MAP = "'map<string,variant>'"
@@ -122,8 +123,9 @@ def contract_errors(profile: str, partial: bool) -> str:
 def with_decision(df: DataFrame, text: str, *, name: str = "d", mode: str = "salvage", profile: str = "server", partial: bool = False) -> DataFrame:
     """``df`` with the typed decision that its column ``text`` holds, as :func:`decisions.decision` gives it.
 
-    Rows whose text is one JSON value are settled here; only the others pass through the Python function.  Null
-    text does not parse.  No rows give no rows.
+    Rows whose text is one JSON value are settled here; only the others pass through the Python function.  Which are
+    which is found in one pass that is written: as a filter of two branches, every text would be parsed anew for each use of
+    its value.  Null text does not parse.  No rows give no rows.
     """
     read = df.withColumn("_t", F.btrim(text, F.lit(" \t\n\r"))).withColumn("_v", F.expr(whole_json("_t")))
     read = read.withColumn("_top", F.expr(f"IF({kind('_v')} LIKE 'OBJECT<%', try_variant_get(_v, '$', {MAP}), NULL)"))
@@ -131,8 +133,8 @@ def with_decision(df: DataFrame, text: str, *, name: str = "d", mode: str = "sal
     read = read.withColumn("_sm", F.expr(f"IF({kind(slots)} LIKE 'OBJECT<%', try_variant_get({slots}, '$', {MAP}), NULL)"))
     settled = F.expr(f"_v IS NOT NULL AND NOT _t RLIKE '{ODD.replace(chr(92), chr(92) * 2)}' AND coalesce(forall(map_values(_sm), x -> {SIMPLE}), true)")
     rules = F.broadcast(contract_table(df.sparkSession)).select(F.col("scene").alias("_scene"), F.struct("scene", "intents", "slots").alias("_r"))
-    plain = read.where(F.coalesce(settled, F.lit(False))).withColumn("_s", F.expr(text_of("element_at(_top, 'scene')")))
-    plain = plain.join(rules, plain._s == rules._scene, "left").withColumn("_order", F.expr("json_object_keys(get_json_object(_t, '$.slots'))"))
+    read = read.withColumn("_settled", F.coalesce(settled, F.lit(False))).withColumn("_s", F.expr(f"""IF(_settled, {text_of("element_at(_top, 'scene')")}, NULL)"""))
+    plain = read.join(rules, read._s == rules._scene, "left").withColumn("_order", F.expr("json_object_keys(get_json_object(_t, '$.slots'))"))
     number = lambda n: f"IF({is_number(n)}, try_variant_get({n}, '$', 'double'), NULL)"
     cloud, held = "element_at(_top, 'need_cloud')", "coalesce(_sm, map())"
     value = F.expr(f"""named_struct('parsed', true, 'is_object', _top IS NOT NULL, 'scene', _s, 'intent', {text_of("element_at(_top, 'intent')")},
@@ -141,9 +143,11 @@ def with_decision(df: DataFrame, text: str, *, name: str = "d", mode: str = "sal
         'slots', IF(_sm IS NULL, CAST(map() AS MAP<STRING, STRING>), map_from_entries(transform(map_entries(_sm), e -> struct(e.key, {WRITTEN})))),
         'pairs', IF(_sm IS NULL, CAST(array() AS ARRAY<STRING>), array_sort(array_distinct(flatten(transform(map_entries(_sm), e -> {PAIRS}))))),
         'errors', {contract_errors(profile, partial)})""").cast(DECISION)
-    rest = read.where(~F.coalesce(settled, F.lit(False)))
-    keep = [F.col(f"`{c}`") for c in df.columns if c != name]
-    return plain.select(*keep, value.alias(name)).unionAll(rest.select(*keep, decision(F.col(text), mode, profile, partial).alias(name)))
+    keep = [F.col(f"`{c}`") for c, kind in df.dtypes if c != name and kind != "void"]
+    done = stored(plain.select(*keep, *([F.col(text).alias("_own")] if text == name else []), F.when(F.col("_settled"), value).alias("_d")), "decisions")
+    back = [F.lit(None).alias(c) if kind == "void" else F.col(f"`{c}`") for c, kind in df.dtypes if c != name]  # files hold no column of nulls alone
+    rest = decision(F.col("_own" if text == name else text), mode, profile, partial)
+    return done.where("_d IS NOT NULL").select(*back, F.col("_d").alias(name)).unionAll(done.where("_d IS NULL").select(*back, rest.alias(name)))
 
 
 def label_errors(df: DataFrame, *, slots: str = "slots", checks: str = "checks") -> DataFrame:

@@ -101,14 +101,15 @@ def strict_rows(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 def strict_fields(rows: DataFrame) -> DataFrame:
     """Field, correct, total, rate over all rows that label the field, valid or not."""
-    out = None
+    counts = []
     for f in ("scene", "intent", "need_cloud"):
         labelled = F.col(f"want.{f}").isNotNull()
-        one = rows.agg(F.lit(f).alias("field"), F.count_if(labelled & F.col("valid") & field_right(f)).alias("correct"), F.count_if(labelled).alias("total"))
-        out = one if out is None else out.unionAll(one)
+        counts.append((f, F.count_if(labelled & F.col("valid") & field_right(f)), F.count_if(labelled)))
     right = F.size(F.filter(F.map_entries("want.slots"), lambda e: F.element_at("got.slots", e["key"]).eqNullSafe(e["value"])))
-    slots = rows.agg(F.lit("labeled_slots").alias("field"), F.coalesce(F.sum(F.when(F.col("valid"), right).otherwise(0)), F.lit(0)).alias("correct"), F.coalesce(F.sum(F.size(F.map_keys("want.slots"))), F.lit(0)).alias("total"))
-    return out.unionAll(slots).withColumn("rate", F.round(F.when(F.col("total") > 0, F.col("correct") / F.col("total")), 4))
+    c = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    counts.append(("labeled_slots", c(F.when(F.col("valid"), right).otherwise(0)), c(F.size(F.map_keys("want.slots")))))
+    one = rows.agg(F.array(*[F.struct(F.lit(f).alias("field"), right.alias("correct"), total.alias("total")) for f, right, total in counts]).alias("x"))  # one pass for all fields
+    return one.select(F.inline("x")).withColumn("rate", F.round(F.when(F.col("total") > 0, F.col("correct") / F.col("total")), 4))
 
 
 def strict_families(rows: DataFrame, negative: tuple[str, ...]) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import overlap
+from siftline.operators import contract, evaluate, overlap
 from siftline.streaming import chains
 
 
@@ -54,3 +54,19 @@ def test_no_frame_runs_to_the_end_of_its_partition(spark):
     """Such a frame is added up anew for every row: 40,000 events of one key took minutes."""
     rows = spark.range(10).selectExpr("'k' AS key", "id + 1 AS n", "id AS t")
     assert "currentrow$(), unboundedfollowing$()" not in plan_of(chains.next_events(rows, 3))
+
+
+def test_a_decision_is_read_in_one_pass(spark):
+    """As a filter before a union, the text was parsed anew for every use of its value."""
+    rows = spark.createDataFrame([(1, '{"scene": "none"}', None), (2, "so {} ok", None)], "i int, t string, odd void")
+    d = contract.with_decision(rows, "t", name="t")
+    assert d.columns == ["i", "odd", "t"] and [(r.i, r.odd, r.t.is_object) for r in d.orderBy("i").collect()] == [(1, None, True), (2, None, True)]
+    assert "parse_json" not in plan_of(d).lower()
+
+
+def test_strict_fields_take_one_pass(spark):
+    gold = spark.createDataFrame([("a", '{"scene": "none", "intent": "none", "need_cloud": true}', ["scene"])], "id string, expected string, checks array<string>")
+    said = spark.createDataFrame([("a", '{"scene": "none", "intent": "none", "complexity": 0, "confidence": 1, "need_cloud": false, "slots": {}}')], "id string, text string")
+    found = evaluate.strict_fields(evaluate.strict_rows(evaluate.judged(gold, said, mode="strict"), ("scene",)))
+    assert sorted(map(tuple, found.collect())) == [("intent", 1, 1, 1.0), ("labeled_slots", 0, 0, None), ("need_cloud", 0, 1, 0.0), ("scene", 1, 1, 1.0)]
+    assert plan_of(found).count("HashAggregate") <= 4  # one for each field before
