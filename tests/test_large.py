@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import contract, evaluate, overlap
+from siftline.operators import checks, contract, evaluate, overlap
 from siftline.streaming import chains
 
 
@@ -70,3 +70,16 @@ def test_strict_fields_take_one_pass(spark):
     found = evaluate.strict_fields(evaluate.strict_rows(evaluate.judged(gold, said, mode="strict"), ("scene",)))
     assert sorted(map(tuple, found.collect())) == [("intent", 1, 1, 1.0), ("labeled_slots", 0, 0, None), ("need_cloud", 0, 1, 0.0), ("scene", 1, 1, 1.0)]
     assert plan_of(found).count("HashAggregate") <= 4  # one for each field before
+
+
+def test_items_do_not_meet_by_their_city(spark):
+    """A few codes were the key of a shuffle of all items with their texts."""
+    names = ("id", "city_code", "city_name", "kind", "name", "text", "source_title", "source_url", "verified_on")
+    rows = spark.createDataFrame([("1", "100000", "A", "food", "n", "text", "t", "https://a.b", "2024-01-05"), ("2", "100000", "B", "food", "n", "text", "t", "https://a.b", "2024-01-05"), ("3", None, "B", "food", "n", "", "t", "https://a.b", "2024-01-05")], ", ".join(f"{n} string" for n in names))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = checks.knowledge_violations(rows)
+        assert sorted(map(tuple, found.collect())) == [("1", "one_name"), ("2", "one_name"), ("3", "city_code"), ("3", "fields")]
+        assert "hashpartitioning(city_code" not in plan_of(found) and "SortMergeJoin" not in plan_of(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
