@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import checks, contract, evaluate, overlap
+from siftline.operators import checks, contract, evaluate, overlap, retrieval
 from siftline.streaming import chains
 
 
@@ -83,3 +83,11 @@ def test_items_do_not_meet_by_their_city(spark):
         assert "hashpartitioning(city_code" not in plan_of(found) and "SortMergeJoin" not in plan_of(found)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scores_are_added_up_where_documents_lie(spark):
+    """Before, every pair of a question and a document was shuffled."""
+    docs = spark.createDataFrame([("all", i, f"sea old tower {i % 3}") for i in range(20)], "g string, d long, t string")
+    asks = spark.createDataFrame([("q", "all", ["sea", "1"])], "q string, grp string, terms array<string>")
+    found = retrieval.scores(docs, asks, group="g", doc="d", text=F.col("t"))
+    assert found.count() == 20 and "hashpartitioning(q" not in plan_of(found)
