@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siftline.functions import text
 from siftline.operators import checks, contract, evaluate, overlap, retrieval
 from siftline.streaming import chains
 
@@ -91,3 +92,9 @@ def test_scores_are_added_up_where_documents_lie(spark):
     asks = spark.createDataFrame([("q", "all", ["sea", "1"])], "q string, grp string, terms array<string>")
     found = retrieval.scores(docs, asks, group="g", doc="d", text=F.col("t"))
     assert found.count() == 20 and "hashpartitioning(q" not in plan_of(found)
+
+
+def test_normal_forms_are_made_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(text, "FEW", 2)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["ｆｉ①", None, "", "ﬁ", "abc"])], "i int, t string").coalesce(1)
+    assert [r[0] for r in rows.orderBy("i").select(text.nfkc(F.col("t"))).collect()] == ["fi1", None, "", "fi", "abc"]
