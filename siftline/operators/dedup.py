@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions.text import dedup_normal
-from siftline.operators.setjoin import compared, similar_components, sketch
+from siftline.broadcasts import small
+from siftline.functions.text import FEW, dedup_normal, shingle_set
+from siftline.operators.setjoin import compared, similar_components
 from siftline.scratch import stored
 
 
@@ -17,15 +22,16 @@ def deduplicate(df: DataFrame, *, idx: str = "idx", text: str = "text", priority
     Texts that are equal after normalising are one text (X3, X4); those whose shingles reach ``threshold`` are linked by an
     exact join (J5, J6, U5), and a component's representative is its row of highest priority, then smallest idx (A21).
     A removed row's similarity may lie below the threshold, because links chain.  Null texts count as empty.  Texts
-    are told apart by two hashes, so that none moves after it is read.
+    are told apart by two hashes and taken apart where they are read, so that none is written or moves.
     """
     priority = F.lit(0.0) if priority is None else priority
     norm = dedup_normal(F.coalesce(F.col(text), F.lit("")))
-    hashed = df.select(F.col(idx).cast("long").alias("i0"), priority.cast("double").alias("p"), norm.alias("norm")).select("i0", "p", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2"))
-    base = stored(hashed, "normal-forms")
+    rows = df.select(F.col(idx).cast("long").alias("i0"), priority.cast("double").alias("p"), norm.alias("norm"))
+    hashed = rows.select("i0", "p", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2"), "norm")
+    read = stored(hashed.mapInArrow(taken_apart, "i0 long, p double, h1 long, h2 long, grams array<long>"), "read")
+    base = read.drop("grams")
     texts = stored(base.groupBy("h1", "h2").agg(F.min("i0").alias("i")), "texts")
-    one = base.join(texts, ["h1", "h2"]).where("i0 = i").dropDuplicates(["i"])
-    sets = stored(one.select("i", sketch(F.col("norm")).alias("s")).select("i", "s.*"), "sets")
+    sets = one_set_each(read.where("i0 IS NOT NULL"), texts)
     roots = stored(similar_components(sets, threshold), "roots")
     owner = texts.join(roots, texts.i == roots.node, "left").select("h1", "h2", "i", F.coalesce("root", "i").alias("component"))
     rows = base.select("i0", "h1", "h2", "p").join(owner, ["h1", "h2"]).select(F.col("i0").alias("idx"), "i", "component", "p")
@@ -38,6 +44,32 @@ def deduplicate(df: DataFrame, *, idx: str = "idx", text: str = "text", priority
     return out.select("idx", "component", "representative", kept.alias("kept"), F.when(~kept, same).alias("jaccard"))
 
 
+def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their shingles in place of the last column, the text; a few at a time, so that no worker holds many."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FEW):
+            part = batch.slice(at, FEW)
+            grams = [shingle_set(t) for t in part.column(part.num_columns - 1).to_pylist()]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, grams)], dtype=np.int32), np.concatenate(grams))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], "grams"])
+
+
+def one_set_each(read: DataFrame, texts: DataFrame) -> DataFrame:
+    """i, grams (a written table): the set of every text, from the row that gives it its ``i``.
+
+    Rows of other ids are left out where they are read if they are few (a checked size); so are, then, repeats of an id.
+    """
+    firsts = texts.select("h1", "h2", F.col("i").alias("i0"))
+    others = stored(read.select("h1", "h2", "i0").join(firsts, ["h1", "h2", "i0"], "left_anti"), "others")
+    kept = read.join(small(others, 32), ["h1", "h2", "i0"], "left_anti").select(F.col("i0").alias("i"), "grams")
+    repeated = stored(read.groupBy("i0").count().where("count > 1").select(F.col("i0").alias("i")), "repeated")
+    if repeated.isEmpty():
+        return stored(kept, "sets")
+    again = small(repeated, 16)
+    once = kept.join(again, "i", "left_semi").dropDuplicates(["i"])
+    return stored(kept.join(again, "i", "left_anti").unionAll(once), "sets")
+
+
 def exact_groups(df: DataFrame, *, idx: str = "idx", text: str = "text") -> DataFrame:
     """first, size for each group of texts equal after normalising, of two rows or more."""
     norm = dedup_normal(F.coalesce(F.col(text), F.lit("")))

@@ -8,10 +8,15 @@ compared whole and no others need be.
 
 Prefix members are the join's keys, with the band of the size: only sets of neighbouring bands meet.  A key with more than
 ``HOT`` sets is dealt over several tasks: one side in parts, the other side to each part.
+
+Components (:func:`similar_components`) need no keys: in texts of one language nearly all sets share prefix members, so
+that rows met by key outgrow the input.  Bitmaps meet by blocks of neighbouring sizes there (:mod:`siftline.operators.blocks`).
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,12 +25,13 @@ from pyspark.sql import functions as F
 
 from siftline.broadcasts import small
 from siftline.functions.text import shingle_set
+from siftline.operators.blocks import bitmaps, candidates, parity
 from siftline.operators.components import components
-from siftline.scratch import dropped, stored
+from siftline.scratch import stored
 
-#: 64-bit words of a bitmap; sets of one key that one task meets; sets of a key that all others are linked with first,
-#: and sets of one component beyond which a key holds a fat one.
-WORDS, HOT, HUBS, FAT = 16, 2000, 4, 16
+#: 64-bit words of a bitmap; sets of one key that one task meets; candidates of a set that are compared in the first
+#: round of components, and in the second.
+WORDS, HOT, HUBS, FAT = 16, 2000, 1, 16
 #: Allowance for rounding in bounds: a bound is only ever taken too wide.
 EPS = 1e-9
 
@@ -37,19 +43,11 @@ def sketch(text: Column, own_size: int = 3, empty: bool = False) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         grams = [shingle_set(t, own_size, empty) for t in texts.to_pylist()]
         lists = lambda parts: pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *parts]))
-        return pa.StructArray.from_arrays([lists(grams), lists([parity(g) for g in grams])], ["grams", "bits"])
+        return pa.StructArray.from_arrays([lists(grams), lists([parity(g, WORDS) for g in grams])], ["grams", "bits"])
 
     return run(text)
 
 
-def parity(g: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """A bit is one if an odd number of members falls on it: two sets' bitmaps differ in as many bits as members at most."""
-    x = g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    odd = np.bincount(((x >> np.uint64(32)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
 def needed(n: Column, m: Column, t: float) -> Column:
     """Members that sets of n and m must share at least."""
     return F.ceil((n + m) * (t / (1 + t)) - EPS)
@@ -113,12 +111,51 @@ def _meeting(left: DataFrame, right: DataFrame, steps: tuple[int, ...], where: C
 
 
 def compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """i, j, jaccard of pairs (i of ``left``, j of ``right``); two empty sets are equal."""
-    a = left.select("i", F.col("grams").alias("ga"))
-    b = right.select(F.col("i").alias("j"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    union = F.size("ga") + F.size("gb") - both
-    return pairs.join(a, "i").join(b, "j").select("i", "j", F.when(union == 0, F.lit(1.0)).otherwise(both / union).alias("jaccard"))
+    """i, j, jaccard of pairs (i of ``left``, j of ``right``); two empty sets are equal.
+
+    Of the sets (written tables) only those of some pair move, packed.
+    """
+    pairs = stored(pairs.select("i", "j"), "pairs")
+    asked = lambda k: small(stored(pairs.select(F.col(k).alias("i")).distinct(), "asked"), 16)
+    a = left.join(asked("i"), "i", "left_semi").select("i", packed(F.col("grams")).alias("ga"))
+    b = right.join(asked("j"), "i", "left_semi").select(F.col("i").alias("j"), packed(F.col("grams")).alias("gb"))
+    return pairs.join(a, "i").join(b, "j").select("i", "j", packed_jaccard(F.col("ga"), F.col("gb")).alias("jaccard"))
+
+
+def packed(grams: Column) -> Column:
+    """A set's sorted members as compressed differences, byte plane by byte plane: about two bytes a member."""
+
+    @F.arrow_udf("binary")
+    def run(sets: pa.Array) -> pa.Array:
+        flat, at = members(sets)
+        steps = (np.diff(flat[x:y], prepend=0) for x, y in zip(at[:-1], at[1:]))
+        return pa.array([zlib.compress(d.view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for d in steps], pa.binary())
+
+    return run(grams)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
+def packed_jaccard(a: Column, b: Column) -> Column:
+    @F.arrow_udf("double")
+    def run(one: pa.Array, two: pa.Array) -> pa.Array:
+        return pa.array([set_jaccard(unpacked(x.as_py()), unpacked(y.as_py())) for x, y in zip(one, two)], pa.float64())
+
+    return run(a, b)
+
+
+def set_jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def members(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All lists' numbers and where each list begins and ends."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def similar_pairs(sets: DataFrame, t: float) -> DataFrame:
@@ -145,41 +182,36 @@ def similar_across(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
 def similar_components(sets: DataFrame, t: float) -> DataFrame:
     """node, root: the components of all pairs at or above ``t``, roots left out, without making all pairs of a group.
 
-    Every set of a crowded key (more than ``HOT`` sets) first meets ``HUBS`` sets of it.  After that only sets of different
-    components meet, and keys that hold one component are left out, so a large group of near copies costs its hubs alone.
-    Where a key holds more than ``FAT`` sets of one component, those meet the key's other sets and those of other
-    fat ones, never one another.
+    Every round compares the candidates of least distance that lie in different components, at most ``HUBS`` of a set in
+    the first round, ``FAT`` in the second and all that are left in the third.  Only sets that candidates were left out
+    of take part in the next round, so a large group of near copies costs a few candidates of each set.
     """
-    spark = sets.sparkSession
-    posts = stored(prefixes(sets, t), "prefixes")
-    crowd = stored(posts.join(small(stored(crowded_keys(posts), "crowded"), 24), ["g", "band"], "left_semi"), "crowd")
-    if crowd.isEmpty():
-        return components(linked(met_once(posts, t), sets, t))
-    hubs = crowd.withColumn("place", F.row_number().over(W.partitionBy("g", "band").orderBy("i"))).where(F.col("place") <= HUBS).drop("place")
-    links = linked(met(crowd, hubs, t, F.col("x.i") != F.col("y.i")), sets, t)
-    root = components(links)
-    of = stored(posts.join(root, posts.i == root.node, "left").select(*posts.columns, F.coalesce("root", "i").alias("c")), "members")
-    several = of.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("g")
-    fat = stored(of.groupBy("g", "c").agg(F.count("*").alias("s")).where(F.col("s") > FAT).select("g", "c", F.lit(True).alias("fat")), "fat")
-    marked = of.join(several, "g", "left_semi").join(small(fat, 24), ["g", "c"], "left").withColumn("fat", F.coalesce("fat", F.lit(False)))
-    open_ = stored(marked, "open")
-    apart, lean = F.col("x.c") != F.col("y.c"), open_.where(~F.col("fat"))
-    found = links.unionAll(linked(met_once(lean, t, apart), sets, t))
-    if not fat.isEmpty():
-        found = found.unionAll(linked(met(open_.where("fat"), lean, t, apart), sets, t))
-        other = fat.select("g", F.col("c").alias("c2"))
-        across = fat.join(other, "g").where("c < c2").select("g", "c", "c2")
-        x, y = across.join(open_, ["g", "c"]), open_.withColumnRenamed("c", "c2").where("fat")
-        both = x.alias("x").join(y.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.c2") == F.col("y.c2")) & fits(t))
-        found = found.unionAll(linked(both, sets, t))
-    found = components(found)
-    dropped(spark, posts, crowd, of, open_, fat)
-    return found
+    maps = stored(bitmaps(sets), "bitmaps")
+    active, root = maps.withColumn("c", F.col("i")), None
+    for cap in (HUBS, FAT, None):
+        met = stored(candidates(active, t, cap), "met")
+        pairs, left = met.where("b IS NOT NULL"), met.where("b IS NULL").select(F.col("a").alias("i"))
+        if cap is not None:
+            ranked = stored(pairs.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy("score", "b"))), "ranked")
+            pairs, over = ranked.where(F.col("place") <= cap), ranked.where(F.col("place") > cap)
+            left = left.unionAll(over.select("a")).unionAll(over.select("b"))
+        found = linked(pairs.select(F.col("a").alias("i"), F.col("b").alias("j")), sets, t)
+        if root is None:
+            root = components(found)
+        elif not found.isEmpty():
+            root = components(found.unionAll(root))
+        if cap is None:
+            return root
+        left = stored(left.distinct(), "left")
+        if left.isEmpty():
+            return root
+        of = left.join(root, F.col("i") == F.col("node"), "left").select("i", F.coalesce("root", "i").alias("c"))
+        active = stored(maps.join(small(stored(of, "of"), 24), "i"), "active")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """a, b: the met pairs that are similar enough, written."""
-    once = pairs.select(F.least("x.i", "y.i").alias("i"), F.greatest("x.i", "y.i").alias("j")).distinct()
+    once = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
     return stored(compared(once, sets, sets).where(F.col("jaccard") >= t).select(F.col("i").alias("a"), F.col("j").alias("b")), "links")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.broadcasts import small
 from siftline.functions import decisions, records, signals, text
 from siftline.operators import checks, dedup, evaluate, expand, overlap, ranking, retrieval, select, traces
 from siftline.session import table
@@ -55,7 +56,7 @@ best AS (SELECT *, first_value(idx) OVER w AS representative, first_value(i) OVE
 
 def quality_of_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return docs.join(labels.select("doc_id", "quality"), "doc_id", "left").select(F.col("doc_id").alias("idx"), "text", F.coalesce("quality", F.lit(0)).alias("quality"))
+    return docs.join(small(labels.select("doc_id", "quality"), 24), "doc_id", "left").select(F.col("doc_id").alias("idx"), "text", F.coalesce("quality", F.lit(0)).alias("quality"))
 
 
 @query(f"""

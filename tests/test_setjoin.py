@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import setjoin
+from siftline.operators import blocks, setjoin
 from siftline.scratch import stored
 
 
@@ -98,3 +98,42 @@ def test_bitmaps_never_differ_more_than_sets():
         b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 62, n // 3)]))
         differ = int(np.bitwise_count((setjoin.parity(a) ^ setjoin.parity(b)).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+
+
+@pytest.mark.parametrize("t, cap", [(0.8, None), (0.5, None), (0.8, 1)])
+def test_blocks_test_all_pairs_and_move_no_members(spark, monkeypatch, t, cap):
+    """Before, most texts of one language met by a shared shingle, each time with a bitmap: disk grew faster than the input."""
+    for name, value in (("LEAST", 7), ("BLOCKS", 3), ("TILE", 4), ("BATCH", 5)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = random.Random(4)
+    large = [set(rng.sample(range(1500), 1100)) for _ in range(4)]
+    sets = families(5, 160) + large + [s - {rng.choice(sorted(s))} for s in large]
+    maps = stored(blocks.bitmaps(table(spark, sets)).withColumn("c", F.col("i") % 140))
+    met = blocks.candidates(maps, t, cap)
+    rows = [tuple(r) for r in met.collect()]
+    pairs = [tuple(sorted(r[:2])) for r in rows if r[1] is not None]
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and i % 140 != j % 140 and jaccard(a, b) >= t}
+    left = {r[0] for r in rows if r[1] is None}
+    assert len(pairs) == len(set(pairs)) and len(want) > 20
+    assert want - set(pairs) == set() if cap is None else all({i, j} <= left for i, j in want - set(pairs))
+    assert bool(left) == (cap is not None) and "explode" not in met._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_sizes_that_many_sets_have_are_dealt_over_slots():
+    sizes = [(1, 5), (2, 5000), (3, 10), (1024, 3000), (1025, 3000), (20000, 9000)]
+    found = blocks.dealt(sizes)
+    assert [(lo, hi) for lo, hi, _ in found] == [(n, n) for n, _ in sizes] and [b[2] for b in found] == [1, 4, 1, 3, 3, 8]
+    each = [(lo, hi) for lo, hi, slots in found for _ in range(slots)]
+    met = {}
+    for block, cell, side in blocks.cells(found, 0.8):
+        met.setdefault(cell, []).append(block)
+    assert sorted(tuple(sorted(b)) for b in met.values()) == sorted((x,) if x == y else (x, y) for y in range(len(each)) for x in range(y + 1) if each[x][1] >= 0.8 * each[y][0])
+
+
+def test_packed_sets_are_read_back_and_compared(spark):
+    sets = [set(), {0}, {5, 1 << 62, (1 << 63) - 1}, {5, 1 << 62}]
+    held = table(spark, sets)
+    rows = held.select("i", setjoin.packed(F.col("grams")).alias("p")).collect()
+    assert {r.i: set(setjoin.unpacked(r.p).tolist()) for r in rows} == dict(enumerate(sets))
+    pairs = spark.createDataFrame([(0, 0), (2, 3), (1, 3)], "i long, j long")
+    assert {(r.i, r.j): r.jaccard for r in setjoin.compared(pairs, held, held).collect()} == {(0, 0): 1.0, (2, 3): 2 / 3, (1, 3): 0.0}
