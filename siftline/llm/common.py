@@ -22,15 +22,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-#: Rows and bytes of an Arrow batch, where the session sets none: texts are long, and workers hold a batch whole.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder that all machines of the cluster see (:func:`siftline.scratch.shared_root`).  Also bounds the session's Arrow batches."""
-    for key, value in BATCHES.items():
-        if not spark.conf.get(key, None):
-            spark.conf.set(key, value)
+    scratch_space.bounded_batches(spark)
     return scratch_space.shared_root(spark)
 
 

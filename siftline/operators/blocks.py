@@ -36,8 +36,9 @@ def parity(g: np.ndarray, words: int = 16) -> np.ndarray:
 
 
 def words_for(n: int) -> int:
-    """Words of the bitmap of n members: a bit a member at least; four for large sets, which come closer to one another."""
-    return min(WIDEST, 1 << max(0, math.ceil(math.log2(max((n if n <= 1024 else 4 * n) / 64, 1)))))
+    """Words of the bitmap of n members: a bit a member at least; two and four for large sets, which come closer to one another."""
+    bits = n * (1 if n <= 512 else 2 if n <= 1024 else 4)
+    return min(WIDEST, 1 << max(0, math.ceil(math.log2(max(bits / 64, 1)))))
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:

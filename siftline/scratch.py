@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: Rows and bytes of an Arrow batch, where the session sets none: texts are long, and workers hold a batch whole.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    for key, value in BATCHES.items():
+        if not spark.conf.get(key, None):
+            spark.conf.set(key, value)
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder; a cluster that names none is an error, as its machines share no other."""
