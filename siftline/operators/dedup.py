@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siftline.broadcasts import small
 from siftline.functions.text import FEW, dedup_normal, shingle_set
 from siftline.operators.setjoin import compared, similar_components
-from siftline.scratch import stored
+from siftline.scratch import bounded_batches, stored
 
 
 def deduplicate(df: DataFrame, *, idx: str = "idx", text: str = "text", priority: Column | None = None, threshold: float = 0.8) -> DataFrame:
@@ -24,6 +24,17 @@ def deduplicate(df: DataFrame, *, idx: str = "idx", text: str = "text", priority
     A removed row's similarity may lie below the threshold, because links chain.  Null texts count as empty.  Texts
     are told apart by two hashes and taken apart where they are read, so that none is written or moves.
     """
+    joined, sets = decided(df, idx, text, priority, threshold)
+    moved = joined.where("idx != representative AND i != j").select("i", "j").distinct()
+    out = joined.join(compared(moved, sets, sets), ["i", "j"], "left")
+    kept = F.col("idx") == F.col("representative")
+    same = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.round("jaccard", 4))
+    return out.select("idx", "component", "representative", kept.alias("kept"), F.when(~kept, same).alias("jaccard"))
+
+
+def decided(df: DataFrame, idx: str, text: str, priority: Column | None, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """idx, component, representative and the ids i, j of their two texts, for every row; and the texts' sets.  Both are written."""
+    bounded_batches(df.sparkSession)
     priority = F.lit(0.0) if priority is None else priority
     norm = dedup_normal(F.coalesce(F.col(text), F.lit("")))
     rows = df.select(F.col(idx).cast("long").alias("i0"), priority.cast("double").alias("p"), norm.alias("norm"))
@@ -36,12 +47,13 @@ def deduplicate(df: DataFrame, *, idx: str = "idx", text: str = "text", priority
     owner = texts.join(roots, texts.i == roots.node, "left").select("h1", "h2", "i", F.coalesce("root", "i").alias("component"))
     rows = base.select("i0", "h1", "h2", "p").join(owner, ["h1", "h2"]).select(F.col("i0").alias("idx"), "i", "component", "p")
     best = rows.groupBy("component").agg(F.max_by(F.struct("idx", "i"), F.struct("p", -F.col("idx"))).alias("r"))
-    joined = stored(rows.join(best, "component").select("idx", "i", "component", F.col("r.idx").alias("representative"), F.col("r.i").alias("j")), "rows")
-    moved = joined.where("idx != representative AND i != j").select("i", "j").distinct()
-    out = joined.join(compared(moved, sets, sets), ["i", "j"], "left")
-    kept = F.col("idx") == F.col("representative")
-    same = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.round("jaccard", 4))
-    return out.select("idx", "component", "representative", kept.alias("kept"), F.when(~kept, same).alias("jaccard"))
+    return stored(rows.join(best, "component").select("idx", "i", "component", F.col("r.idx").alias("representative"), F.col("r.i").alias("j")), "rows"), sets
+
+
+def decisions(df: DataFrame, *, idx: str = "idx", text: str = "text", priority: Column | None = None, threshold: float = 0.8) -> DataFrame:
+    """:func:`deduplicate` without the similarities to representatives, which take the sets of all removed texts."""
+    joined, _ = decided(df, idx, text, priority, threshold)
+    return joined.select("idx", "component", "representative", (F.col("idx") == F.col("representative")).alias("kept"))
 
 
 def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +89,7 @@ def exact_groups(df: DataFrame, *, idx: str = "idx", text: str = "text") -> Data
 
 
 def removal_summary(result: DataFrame) -> DataFrame:
-    """Counts of a :func:`deduplicate` result."""
+    """Counts of a :func:`deduplicate` or :func:`decisions` result."""
     return result.agg(F.count("*").alias("total"), F.count_if(~F.col("kept")).alias("removed"), F.count_distinct("component").alias("components"))
 
 

@@ -75,7 +75,7 @@ WITH RECURSIVE {PAIRS_SQL}
 SELECT count(*) AS total, count(*) FILTER (idx <> representative) AS removed, count(DISTINCT component) AS components FROM best
 """)
 def dedup_summary(spark, sf_dir):
-    return dedup.removal_summary(dedup.deduplicate(quality_of_label(spark, sf_dir), priority=F.col("quality")))
+    return dedup.removal_summary(dedup.decisions(quality_of_label(spark, sf_dir), priority=F.col("quality")))
 
 
 @query(f"SELECT min(doc_id) AS first, count(*) AS size FROM documents GROUP BY {NORMAL} HAVING count(*) > 1")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import text
-from siftline.operators import checks, contract, evaluate, overlap, retrieval
+from siftline.operators import checks, contract, dedup, evaluate, overlap, retrieval
 from siftline.streaming import chains
 
 
@@ -98,3 +98,14 @@ def test_normal_forms_are_made_a_few_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(text, "FEW", 2)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["ｆｉ①", None, "", "ﬁ", "abc"])], "i int, t string").coalesce(1)
     assert [r[0] for r in rows.orderBy("i").select(text.nfkc(F.col("t"))).collect()] == ["fi1", None, "", "fi", "abc"]
+
+
+def test_a_summary_needs_no_similarities(spark, monkeypatch):
+    """Before, a summary compared the sets of all removed texts with those of their representatives."""
+    texts = ["some words here", "some words  here", "some words here!", "other things", "", None, "x", "other things altogether"]
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    whole = dedup.deduplicate(df)
+    want, rows = dedup.removal_summary(whole).first(), sorted(map(tuple, whole.drop("jaccard").collect()))
+    monkeypatch.setattr(dedup, "compared", None)
+    found = dedup.decisions(df)
+    assert sorted(map(tuple, found.collect())) == rows and dedup.removal_summary(found).first() == want and want.removed >= 3
