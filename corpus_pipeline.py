@@ -27,7 +27,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling selects; those without words never are, repeats all are or none is."""
-    return keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+    return keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

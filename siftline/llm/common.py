@@ -86,6 +86,27 @@ def kept(name: str, make):
     return values[name]
 
 
+def trimmed(run):
+    """``run`` (of batches) for ``mapInArrow``; a task's freed memory goes back to the system at its end, as its worker lives on."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Returns what Arrow and the C library hold of freed memory, where they can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def ship() -> None:
     """Sends this package's functions by value, so that workers need no copy of it on their path."""
     from pyspark import cloudpickle

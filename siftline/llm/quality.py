@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from siftline.llm.common import stash
+from siftline.llm.common import stash, trimmed
 from siftline.llm.hashing import flat, mixed, slices, tokens
 
 #: At most so many labelled rows take part in the fit, those of the smallest hashed ids.
@@ -39,8 +41,8 @@ PRIOR, CHANCE, LENGTH = 1.0, 3.0, 1000
 DAMP, LONG = 0.7, 4000.0
 #: Parts of a count that are told apart: counts are whole numbers of them, so sums in any order agree.
 UNITS = 1 << 16
-#: Bytes of text whose n-grams are held at once.
-AT_ONCE = 1 << 20
+#: Bytes of text whose n-grams are held at once; what is needed beside them is about 100 times this.
+AT_ONCE = 1 << 18
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,34 +99,51 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[np.ndarray, DataFrame]:
     """The log ratios and the labelled sample (doc_id, good, fits: is in the target model); ``docs`` are doc_id, text."""
     ranked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min((F.coalesce(F.col("quality") == 1, F.lit(False)) & F.coalesce(F.col("toxic") == 0, F.lit(False))).cast("int")).alias("good"))
-    drawn = ranked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    sample = stash(drawn.withColumn("fits", ((F.col("good") == 1) & (F.pmod(F.xxhash64("doc_id", F.lit("fits")), F.lit(2)) == 0)).cast("int")), "labels")
+    some = ranked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    sample = stash(some.withColumn("fits", ((F.col("good") == 1) & (F.pmod(F.xxhash64("doc_id", F.lit("fits")), F.lit(2)) == 0)).cast("int")), "labels")
     fits = F.broadcast(sample.where("fits = 1").select("doc_id", F.lit(1).alias("good")))  # bounded by ``limit`` rows of 12 bytes
     marked = docs.join(fits, "doc_id", "left").select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("good", F.lit(0)).alias("good"))
-    summed = marked.mapInArrow(_count, "part int, counts binary").repartition(2 * PARTS, "part").mapInArrow(_add, "part int, counts binary")
+    summed = marked.mapInArrow(trimmed(_count), "part int, counts binary").repartition(2 * PARTS, "part").mapInArrow(_add, "part int, counts binary")
     total = np.zeros((2 * PARTS, SIZE // PARTS), np.int64)
     for row in summed.collect():  # 8 MB, whatever the input
         total[row.part] += np.frombuffer(row.counts, np.int64)
     return log_ratio(*total.reshape(2, -1) / UNITS), sample
 
 
+def weighed(texts: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of words and the log weight (null without words) of each text (no nulls); a text's do not depend on the others."""
+    counts, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for a, n in slices(texts, AT_ONCE):
+        bucket, doc, words = features(texts.slice(a, n))
+        counts.append(words)
+        weights.append(LENGTH * np.bincount(doc, weights=ratio[bucket], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1))
+    count = np.concatenate(counts)
+    return count, pa.array(np.concatenate(weights), mask=count == 0)
+
+
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """doc_id, h (hash of the text), n_words, log_weight (null without words)."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)  # 4 MB
 
     def score(batches):
-        ratio = held.value
         for batch in batches:
-            texts, outs = batch.column("text"), []
-            for a, n in slices(texts, AT_ONCE):
-                bucket, doc, words = features(texts.slice(a, n))
-                outs.append((words, LENGTH * np.bincount(doc, weights=ratio[bucket], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1)))
-            count = np.concatenate([x for x, _ in outs]) if outs else np.zeros(0, np.int64)
-            weight = np.concatenate([x for _, x in outs]) if outs else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(count, pa.int64()), pa.array(weight, mask=count == 0)], ["doc_id", "h", "n_words", "log_weight"])
+            count, weight = weighed(batch.column("text"), held.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(count, pa.int64()), weight], ["doc_id", "h", "n_words", "log_weight"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(score, "doc_id long, h long, n_words long, log_weight double")
+    return texts.mapInArrow(trimmed(score), "doc_id long, h long, n_words long, log_weight double")
+
+
+def with_weights(docs: DataFrame, ratio: np.ndarray, name: str) -> DataFrame:
+    """The rows of ``docs`` with their log weights as a last column, as :func:`log_weights` gives them."""
+    held = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    def score(batches):
+        for batch in batches:
+            weight = weighed(pc.fill_null(batch.column("text"), ""), held.value)[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, weight], [*batch.schema.names, name])
+
+    return docs.mapInArrow(trimmed(score), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
@@ -169,30 +188,45 @@ def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096, few: int = 40
             return lo
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, limit: int = LABELLED, seed: int = 17) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, log_weight, gumbel_key, selected, h.
+def gumbel_key(weight: str, doc_id: str | Column, h: str | Column, seed: int) -> Column:
+    """A log weight plus the noise of a row's id and hash of the text."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, h), 11) + 0.5) / float(1 << 53)
+    return F.col(weight) - F.log(-F.log(u))
 
-    ``selected`` marks the k largest keys; rows whose key equals the k-th are all selected, so repeated rows
-    share their fate.  Texts without words (null, empty, blank) have no weight and are never selected.  Labels
-    with null ids are ignored, other nulls count as not good, and an id labelled twice is good only if both say
-    so.  Without labelled good rows on both sides of the split every document with words is selected.
-    """
+
+def drawn(docs: DataFrame, labels: DataFrame, limit: int, seed: int) -> tuple[np.ndarray, DataFrame, float | None]:
+    """The log ratios, all rows' log weights and keys, and the smallest key that is selected (None: none is)."""
     ratio, sample = fit(docs.select("doc_id", "text"), labels, limit)
     scored = stash(log_weights(docs, ratio), "weights")
     fair = scored.where("log_weight is not null").join(F.broadcast(sample.where("fits = 0")), "doc_id")
     once = fair.groupBy("doc_id", "h").agg(F.min("log_weight").alias("log_weight"), F.min("good").alias("good"))
     seen = once.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(2 * limit).select("log_weight", "good").toPandas()
     cut = best_cut(seen["log_weight"].to_numpy(float), seen["good"].to_numpy(bool)) if ratio.any() and seen["good"].any() else -np.inf
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "h"), 11) + 0.5) / float(1 << 53)
-    keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    keyed = scored.withColumn("gumbel_key", gumbel_key("log_weight", "doc_id", "h", seed))
     k = scored.where(F.col("log_weight") >= F.lit(float(cut))).count()
-    least = kth_largest(keyed, "gumbel_key", k)
+    return ratio, keyed, kth_largest(keyed, "gumbel_key", k)
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, limit: int = LABELLED, seed: int = 17) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, log_weight, gumbel_key, selected, h.
+
+    ``selected`` marks the k largest keys; rows whose key equals the k-th are all selected, so repeated rows
+    share their fate.  Texts without words (null, empty, blank) have no weight and are never selected.  Labels
+    with null ids are ignored, other nulls count as not good, and an id labelled twice is good only if both say
+    so.  Without labelled good rows on both sides of the split every document with words is selected.
+    """
+    _, keyed, least = drawn(docs, labels, limit, seed)
     selected = F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False)) if least is not None else F.lit(False)
     return keyed.withColumn("selected", selected)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` selects, with all their columns."""
-    chosen = classify(docs, labels, **options).where("selected").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    same = F.col("_id").eqNullSafe(docs.doc_id) & (F.col("_h") == F.xxhash64(docs.text))
-    return docs.join(chosen, same, "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, *, limit: int = LABELLED, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` selects, with all their columns.
+
+    Their weights are taken a second time where the rows are read, so no text moves.
+    """
+    ratio, _, least = drawn(docs, labels, limit, seed)
+    if least is None:
+        return docs.where("false")
+    key = gumbel_key("_log_weight", F.col("doc_id").cast("long"), F.xxhash64("text"), seed)
+    return with_weights(docs, ratio, "_log_weight").where(key >= F.lit(least)).drop("_log_weight")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import shared_root, small, stash, unstash
+from siftline.llm.common import shared_root, small, stash, trimmed, unstash
 from siftline.llm.hashing import flat, mixed, slices, tokens
 from siftline.llm.packed import BLOBS, blobs, merged, summed, unpack, unplanes
 from siftline.llm.simhash import components, first_of_each, links
@@ -34,8 +34,8 @@ from siftline.llm.simhash import components, first_of_each, links
 #: Common shingles that are kept at most (12 bytes each), bits of a shingle that are counted, shingles that a task
 #: gathers before it sorts them.
 COMMON, COUNTED, GATHER = 1_000_000, 40, 500_000
-#: Bytes of text whose shingles are held at once.
-AT_ONCE = 1 << 20
+#: Bytes of text whose shingles are held at once; what is needed beside them is about 150 times this.
+AT_ONCE = 1 << 18
 #: The similarity of a link, as a fraction.
 PART, WHOLE = 4, 5
 #: Classes of a group that every other is checked against, by round.
@@ -103,7 +103,7 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
                 g, at = shingles(texts.slice(a, n), width)
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(g, at).view(np.int64)), lists(g, at)], ["k", "g"])
 
-    return rows.select("text").mapInArrow(run, "k long, g array<long>")
+    return rows.select("text").mapInArrow(trimmed(run), "k long, g array<long>")
 
 
 def common_shingles(rows: DataFrame, width: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def common_shingles(rows: DataFrame, width: int, most: int = COMMON) -> tuple[np
         one = lambda name: packed.column(name)[0].as_py() if len(keys) else b""
         return pa.table({"steps": pa.array([by.tolist()], pa.list_(pa.int64())), "keys": pa.array([one("keys")], pa.binary()), "counts": pa.array([one("counts")], pa.binary())})
 
-    counted = stash(rows.select("text").mapInArrow(count, BLOBS).groupBy("shard").applyInArrow(add, "steps array<long>, keys binary, counts binary"), "common")
+    counted = stash(rows.select("text").mapInArrow(trimmed(count), BLOBS).groupBy("shard").applyInArrow(add, "steps array<long>, keys binary, counts binary"), "common")
     steps = counted.select(F.posexplode("steps").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")).collect()
     of = np.zeros(257, np.int64)
     for r in steps:
@@ -196,7 +196,7 @@ def prefixes(rows: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray])
                     ["d", "h", "k", "n", "fp", "p"],
                 )
 
-    return rows.mapInArrow(run, "d long, h long, k long, n long, fp long, p array<long>")
+    return rows.mapInArrow(trimmed(run), "d long, h long, k long, n long, fp long, p array<long>")
 
 
 def checked(pairs: DataFrame, held: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import kept, map_file, put_file, scratch, stash
+from siftline.llm.common import kept, map_file, put_file, scratch, stash, trimmed
 from siftline.llm.hashing import flat, slices
 
 MAGIC = b"DACIDS01"
@@ -42,7 +42,7 @@ PLACES, PIECE_BYTES, PIECE_IDS, WORTH = 1 << 20, 16, 6, 3
 #: Pieces that are looked up at once, and new pieces that go through the tokenizer in one string, with line ends between.
 AT_ONCE, JOINED = 1 << 18, 256
 #: Bytes of text that are encoded at once.
-TEXT_AT_ONCE = 4 << 20
+TEXT_AT_ONCE = 1 << 18
 #: The special token: texts that hold it go whole.
 SPECIAL = "<|endoftext|>"
 #: First bytes of blanks beyond ASCII (they join runs of blanks) and of the special token, and what a text that goes whole
@@ -306,7 +306,7 @@ def write_tokens(docs: DataFrame, *, tokenizer: str, out: str | None = None, end
 
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("d", "h").sortWithinPartitions("d", "h").select("d", "text")
-    manifest = stash(ordered.mapInArrow(run, "uri string, part int, number int, n_docs long, n_tokens long"), "manifest")
+    manifest = stash(ordered.mapInArrow(trimmed(run), "uri string, part int, number int, n_docs long, n_tokens long"), "manifest")
     return manifest.withColumn("start", F.sum("n_tokens").over(W.orderBy("part", "number")) - F.col("n_tokens"))
 
 

@@ -133,3 +133,12 @@ def test_models_and_weights_by_brute_force(spark):
     want = {i: 1000 * sum(ratios[x] for x in grams(t)) / len(grams(t)) if grams(t) else None for i, t in docs}
     for row in log_weights(d, ratio).collect():
         assert row.log_weight == (pytest.approx(want[row.doc_id], abs=1e-2) if want[row.doc_id] is not None else None)
+
+
+def test_keep_good_moves_no_text(spark):
+    docs, labels, _ = corpus(300)
+    d, lab = frames(spark, docs + [docs[0], (None, docs[1][1]), (9000, None)], labels)
+    kept, out = keep_good(d, lab), classify(d, lab).where("selected")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted((repr(r.doc_id), r.text) for r in kept.collect()) == sorted((repr(r.doc_id), r.text) for r in d.join(out.select(F.col("doc_id").alias("i"), F.col("h").alias("k")).distinct(), F.col("i").eqNullSafe(d.doc_id) & (F.col("k") == F.xxhash64("text")), "left_semi").collect())

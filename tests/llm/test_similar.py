@@ -1,8 +1,12 @@
 import random
 import re
+import tracemalloc
 
 import corpus_pipeline
-from siftline.llm.similar import groups, keep_one_similar
+import numpy as np
+import pyarrow as pa
+from siftline.llm import common
+from siftline.llm.similar import groups, keep_one_similar, prefixes, sets
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -62,3 +66,33 @@ def test_stage_links_five_words_at_0_8(spark):
     kept = corpus_pipeline.near_duplicates(spark, frame, "").collect()
     assert len(kept) == len(set(roots([t for _, t, *_ in docs])))
     assert len(set(roots([r.text for r in kept]))) == len(kept)
+
+
+class Rows:
+    """Stands for a table: keeps what a worker would run."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+    select = lambda self, *_: self
+    broadcast = lambda self, value: type("Held", (), {"value": value})
+    mapInArrow = lambda self, run, _: run
+
+
+def test_workers_hold_little_beside_a_batch():
+    rng = random.Random(3)
+    text = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=400)) for _ in range(2000)]  # 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), pa.array(text)], ["d", "h", "text"])
+    common_ones = (np.arange(1000, dtype=np.uint64), np.ones(1000, np.uint32))
+    for run in (prefixes(Rows(), 5, common_ones), sets(Rows(), 5)):
+        next(run([batch.slice(0, 10)]))
+        tracemalloc.start()
+        n = sum(len(out) for out in run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 2000 and peak < 48 << 20
+
+
+def test_freed_memory_goes_back_at_the_end_of_a_task(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("end"))
+    assert [seen.append(x) or x for x in common.trimmed(lambda batches: (2 * x for x in batches))([1, 2])] == [2, 4]
+    assert seen == [2, 4, "end"]
