@@ -186,7 +186,7 @@ def similar_components(sets: DataFrame, t: float) -> DataFrame:
     the first round, ``FAT`` in the second and all that are left in the third.  Only sets that candidates were left out
     of take part in the next round, so a large group of near copies costs a few candidates of each set.
     """
-    maps = stored(bitmaps(sets), "bitmaps")
+    maps = stored(bitmaps(sets, t), "bitmaps")
     active, root = maps.withColumn("c", F.col("i")), None
     for cap in (HUBS, FAT, None):
         met = stored(candidates(active, t, cap), "met")

@@ -137,3 +137,31 @@ def test_packed_sets_are_read_back_and_compared(spark):
     assert {r.i: set(setjoin.unpacked(r.p).tolist()) for r in rows} == dict(enumerate(sets))
     pairs = spark.createDataFrame([(0, 0), (2, 3), (1, 3)], "i long, j long")
     assert {(r.i, r.j): r.jaccard for r in setjoin.compared(pairs, held, held).collect()} == {(0, 0): 1.0, (2, 3): 2 / 3, (1, 3): 0.0}
+
+
+def test_sets_that_lean_to_different_sides_are_not_tested(spark, monkeypatch):
+    """Before, texts of different languages were tested with each other wherever their sizes allowed it."""
+    rng = random.Random(6)
+    sets = [set(rng.sample(range(1000 * (k % 3), 1000 * (k % 3) + 120), rng.randrange(75, 90))) for k in range(240)]
+    sets += [set(list(a)[:40]) | set(list(b)[:40]) for a, b in zip(sets[:30], sets[1:31])]
+    sets += [s - {min(s)} for s in sets[:60] + sets[-20:]]
+    held = stored(table(spark, sets))
+    maps = stored(blocks.bitmaps(held, 0.8).withColumn("c", F.col("i")))
+    lean = {r.i: r.lean for r in maps.collect()}
+    sides = [{lean[i] for i in range(k, 240, 3)} - {0} for k in range(3)]
+    assert sum(lean[i] > 0 for i in range(240)) > 200 and len(set.union(*sides)) == sum(map(len, sides)) >= 3
+    want = {(i, j) for i, a in enumerate(sets) for j in range(i) for b in [sets[j]] if jaccard(a, b) >= 0.8}
+    got = {(max(r.a, r.b), min(r.a, r.b)) for r in blocks.candidates(maps, 0.8).collect()}
+    assert want <= got and len(want) >= 60
+    end = [(1, 9, 1), (8, 9, 2)]
+    assert len(blocks.cells(end * 2, 0.8, [1, 1, 2, 2])) < len(blocks.cells(end * 2, 0.8)) == len(blocks.cells(end * 2, 0.8, [0, 0, 1, 1]))
+
+
+def test_bitmaps_group_to_any_fewer_words():
+    rng = np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 1 << 62, 900))
+    b = a[60:]
+    one, two = (blocks.parity(s, 32).view(np.uint64)[None] for s in (a, b))
+    for words in (1, 3, 5, 6, 16, 40):
+        assert int(np.bitwise_count(blocks.grouped(one, words) ^ blocks.grouped(two, words)).sum()) <= 60
+        assert blocks.grouped(one, words).shape == (1, min(words, 32))
