@@ -112,9 +112,9 @@ def best_scores(posts: DataFrame, queries: DataFrame, k: int, *, fits: Column |
     found = stored(found, "candidates")
     # the blocks that are read are a term's heaviest ones, so their last one tells which; candidates meet their own postings, not terms and blocks
     also = read.where("NOT leads").groupBy("q", "grp", "term").agg(F.max("block").alias("last"))
-    own_posts = found.select("q", "grp", "doc").join(cut.select("grp", "term", "block", "doc", "part", "long"), ["grp", "doc"])
+    own_posts = found.select("q", "grp", "doc").hint("merge").join(cut.select("grp", "term", "block", "doc", "part", "long"), ["grp", "doc"])
     tail = own_posts.join(small(stored(also, "also"), 96), ["q", "grp", "term"]).where("block <= last").groupBy("q", "grp", "doc").agg(F.sum("part").alias("more"), F.max("long").alias("l2")).drop("grp")
-    out = found.join(tail, ["q", "doc"], "left").withColumn("score", F.col("s") + F.coalesce("more", F.lit(0.0))).withColumn("long_match", F.col("l") | F.coalesce("l2", F.lit(False)))
+    out = found.join(tail.hint("merge"), ["q", "doc"], "left").withColumn("score", F.col("s") + F.coalesce("more", F.lit(0.0))).withColumn("long_match", F.col("l") | F.coalesce("l2", F.lit(False)))
     return out.where((F.col("score") >= F.col("least")) & eligible).select("q", "doc", "score", "long_match")
 
 
@@ -127,7 +127,7 @@ def named_items(kb: DataFrame, asked: DataFrame) -> DataFrame:
     lengths = names.groupBy("grp").agg(F.collect_set(F.char_length("name")).alias("sizes"))
     sized = asked.select("q", "grp", "question").join(lengths, "grp").select("q", "grp", "question", F.explode("sizes").alias("size")).where(F.col("size") <= F.char_length("question"))
     parts = sized.select("q", "grp", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("question") - F.col("size") + 1), lambda i: F.substring("question", i, F.col("size"))))).alias("name"))
-    return parts.join(names, ["grp", "name"]).select("q", "doc").distinct()
+    return names.join(small(stored(parts, "parts"), 64), ["grp", "name"]).select("q", "doc").distinct()
 
 
 def search(kb: DataFrame, questions: DataFrame, *, limit: int = LIMIT) -> DataFrame:
@@ -153,9 +153,11 @@ def search(kb: DataFrame, questions: DataFrame, *, limit: int = LIMIT) -> DataFr
     named = stored(named_items(kb, asked), "named")
     chosen = stored(found.select("q", "doc").unionAll(filler).unionAll(named).distinct(), "chosen")
     mine = asked.select("q", "grp", F.explode(F.array_distinct("terms")).alias("term"))
-    wanted = stored(chosen.join(mine, "q"), "wanted")
-    scored = small(wanted, 96).join(posts, ["grp", "term", "doc"]).groupBy("q", "doc").agg(F.sum("part").alias("score"), F.max("long").alias("long_match"))
-    pairs = chosen.join(asked.select("q", "grp", "asked"), "q").join(items, ["grp", "doc"]).join(scored, ["q", "doc"], "left").join(named.withColumn("named", F.lit(True)), ["q", "doc"], "left")
+    # a chosen item meets its own postings, and these the question's terms: a row for each item and term is never written or broadcast
+    placed = stored(chosen.join(small(asked.select("q", "grp", "asked"), 64), "q"), "placed")
+    own = posts.select("grp", "term", "doc", "part", "long").join(placed.select("q", "grp", "doc").hint("merge"), ["grp", "doc"])
+    scored = own.join(small(stored(mine, "mine"), 96), ["q", "grp", "term"]).groupBy("q", "doc").agg(F.sum("part").alias("score"), F.max("long").alias("long_match"))
+    pairs = placed.hint("merge").join(items, ["grp", "doc"]).join(scored.hint("merge"), ["q", "doc"], "left").join(named.withColumn("named", F.lit(True)).hint("merge"), ["q", "doc"], "left")
     is_named = F.coalesce("named", F.lit(False))
     keep = F.when(F.col("asked") != "", F.col("kind") == F.col("asked")).otherwise(is_named | F.coalesce("long_match", F.lit(False)))
     total = F.coalesce("score", F.lit(0.0)) + F.when(F.col("asked") != "", KIND_BOOST).otherwise(0.0) + F.when(is_named, NAME_BOOST).otherwise(0.0)

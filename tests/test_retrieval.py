@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siftline import broadcasts
 from siftline.functions.text import retrieval_tokens
 from siftline.operators import retrieval
+from siftline.scratch import stored
 
 WORDS = ["sea", "old", "tower", "noodle", "x", "y", "zz", "塔", "面条", "古城", "a1", "of", "the", "the", "the"]
 
@@ -84,3 +86,16 @@ def test_no_rows_and_no_terms(spark):
     asks = spark.createDataFrame([("q1", "c1", ""), ("q2", None, "sea")], "q string, city_code string, question string")
     assert retrieval.search(kb.limit(0), asks).collect() == []
     assert retrieval.search(kb, asks).collect() == []
+
+
+def test_many_items_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    """Before, tables that were counted and found too large were left to Spark, which broadcast them: their files are small."""
+    many = broadcasts.small(stored(spark.range(3000).selectExpr("'same' AS k", "id % 3 AS i")), 24, limit=1000)
+    plan = spark.range(40).selectExpr("id AS i").join(many, "i")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    written = []
+    monkeypatch.setattr(retrieval, "stored", lambda df, name="stored": written.append(name) or stored(df, name))
+    rng = random.Random(3)
+    kb = spark.createDataFrame(knowledge(rng, 20), "id string, city_code string, city_name string, kind string, name string, text string")
+    retrieval.search(kb, spark.createDataFrame(asked(rng, 5), "q string, city_code string, question string"))
+    assert "placed" in written and "wanted" not in written  # a row for each chosen item and term of the question
